@@ -11,13 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum_mix, minimax_shards, url_equivalence
+from . import curriculum_mix, language_id, minimax_shards, quality_nbsvm, secret_scan, url_equivalence
+from .language_id import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
+
+
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum_mix.mix_sources(_table(spark, sf_dir, "documents"))
     ordered = curriculum_mix.in_training_order(mixed)
@@ -34,8 +39,21 @@ def op8_url_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(~held_out()))
+    return language_id.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
+
+
+def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_nbsvm.train(docs, _table(spark, sf_dir, "labels").filter(~held_out()))
+    scored = quality_nbsvm.score(docs.select("doc_id", held_out().alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= quality_nbsvm.THRESHOLD).cast("int"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_curriculum_mix, op7_minimax_shards, op8_url_equivalence)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_curriculum_mix, op7_minimax_shards, op8_url_equivalence, op9_language_id, op10_quality_nbsvm)}
 
 
 _OP3 = r"""
