@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum_mix, language_id, minimax_shards, quality_nbsvm, secret_scan, url_equivalence
+from . import curriculum_mix, language_id, line_dedup, minimax_shards, quality_nbsvm, secret_scan, url_equivalence
 from .language_id import held_out
 
 
@@ -29,6 +29,10 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = minimax_shards.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -53,7 +57,7 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_curriculum_mix, op7_minimax_shards, op8_url_equivalence, op9_language_id, op10_quality_nbsvm)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_curriculum_mix, op4_line_dedup, op7_minimax_shards, op8_url_equivalence, op9_language_id, op10_quality_nbsvm)}
 
 
 _OP3 = r"""
@@ -143,5 +147,22 @@ FROM classed LEFT JOIN status ON classed.class = status.class
 """
 
 
+_OP4 = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(COALESCE(text, ''), chr(10))) AS line, generate_subscripts(string_split(COALESCE(text, ''), chr(10)), 1) AS place
+  FROM documents
+), keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[ \t-\r]+|[ \t-\r]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), owners AS (
+  SELECT key, MIN(doc_id) AS owner FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING COUNT(DISTINCT doc_id) >= 2
+), judged AS (
+  SELECT k.doc_id, k.place, k.line, COALESCE(o.owner <> k.doc_id, FALSE) AS gone FROM keyed k LEFT JOIN owners o ON k.key = o.key
+)
+SELECT doc_id, COUNT(*) AS n_lines, CAST(COUNT(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(COALESCE(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_curriculum_mix": _OP3, "op8_url_equivalence": "WITH RECURSIVE" + _OP8.lstrip().removeprefix("WITH")}
+    return {"op4_line_dedup": _OP4, "op3_curriculum_mix": _OP3, "op8_url_equivalence": "WITH RECURSIVE" + _OP8.lstrip().removeprefix("WITH")}
