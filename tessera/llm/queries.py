@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum_mix, embed_dedup, language_id, line_dedup, minimax_shards, quality_nbsvm, secret_scan, url_equivalence
+from . import curriculum_mix, embed_dedup, jaccard_join, language_id, line_dedup, minimax_shards, quality_nbsvm, secret_scan, url_equivalence
 from .language_id import held_out
 
 
@@ -33,6 +33,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -61,7 +65,7 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_curriculum_mix, op4_line_dedup, op6_embed_dedup, op7_minimax_shards, op8_url_equivalence, op9_language_id, op10_quality_nbsvm)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_curriculum_mix, op4_line_dedup, op5_jaccard_join, op6_embed_dedup, op7_minimax_shards, op8_url_equivalence, op9_language_id, op10_quality_nbsvm)}
 
 
 _OP3 = r"""
