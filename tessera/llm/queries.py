@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum_mix, embed_dedup, jaccard_join, language_id, line_dedup, minimax_shards, quality_nbsvm, secret_scan, url_equivalence
+from . import curriculum_mix, decontaminate, embed_dedup, jaccard_join, language_id, line_dedup, minimax_shards, quality_nbsvm, secret_scan, url_equivalence
 from .language_id import held_out
 
 
@@ -19,6 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("match")).select("doc_id", "match.*")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
 
@@ -65,7 +70,7 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_curriculum_mix, op4_line_dedup, op5_jaccard_join, op6_embed_dedup, op7_minimax_shards, op8_url_equivalence, op9_language_id, op10_quality_nbsvm)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_curriculum_mix, op4_line_dedup, op5_jaccard_join, op6_embed_dedup, op7_minimax_shards, op8_url_equivalence, op9_language_id, op10_quality_nbsvm)}
 
 
 _OP3 = r"""
