@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryPlanError
@@ -31,13 +31,23 @@ class Scan:
     scope: list[ScopeColumn]
     number: int
 
-    def frame(self, needs_order: bool) -> DataFrame:
-        rows = self.table.numbered() if needs_order and self.table.stored else self.table.rows()
+    def frame(self, needs_order: bool, numbered: bool = False) -> DataFrame:
+        rows = self.table.numbered() if numbered or needs_order and self.table.stored else self.table.rows()
         columns = [F.col(c.name).alias(c.physical) for c in self.scope]
+        if numbered:
+            columns.append(F.col(RID).alias(self.rid))
         if needs_order:
             columns += [F.col(c).alias(f"s{self.number}_order{i}") for i, c in enumerate(self.table.order)]
         return rows.select(*columns)
 
+    @property
+    def rid(self) -> str:
+        return f"s{self.number}_rid"
+
+    @property
+    def page(self) -> Column:
+        return F.floor(F.col(self.rid) / self.table.schema.entries_per_page)
+
     @property
     def order(self) -> list[str]:
         return [f"s{self.number}_order{i}" for i in range(len(self.table.order))]
@@ -93,12 +103,12 @@ def _validate(query: LogicalQuery, scope: list[ScopeColumn]) -> None:
             raise QueryPlanError(f"Error: {reference} is not a number")
 
 
-def joined(resolved: Resolved, order: list[tuple[int, list[tuple[ScopeColumn, ScopeColumn]], JoinAlgorithm | None]] | None, needs_order: bool) -> DataFrame:
+def joined(resolved: Resolved, order: list[tuple[int, list[tuple[ScopeColumn, ScopeColumn]], JoinAlgorithm | None]] | None, needs_order: bool, numbered: bool = False) -> DataFrame:
     """Scans, filters and joins.  ``order`` lists (scan, conditions, algorithm) as a
     planner chose; without it joins run as declared.  Filters are applied at the scans."""
     frames = []
     for scan in resolved.scans:
-        frame = scan.frame(needs_order)
+        frame = scan.frame(needs_order, numbered)
         for column, op, value in resolved.predicates:
             if column in scan.scope:
                 frame = frame.filter(op.condition(F.col(column.physical), value))
@@ -115,13 +125,50 @@ def joined(resolved: Resolved, order: list[tuple[int, list[tuple[ScopeColumn, Sc
     return out
 
 
-def compile_query(resolved: Resolved, order: list | None = None) -> DataFrame:
+def _key_hash(column: ScopeColumn) -> Column:
+    """Hash of a join key by which a partitioned join would deal it out."""
+    value = F.col(column.physical)
+    if column.type.family == "INT":
+        return F.abs(value.cast("long"))
+    if column.type.family == "FLOAT":
+        return value.cast("long")
+    if column.type.family == "BOOL":
+        return value.cast("long")
+    folded = F.aggregate(F.split(value, ""), F.lit(0).cast("long"), lambda acc, c: F.pmod(acc * 31 + F.ascii(c), F.lit(1 << 32)))
+    return F.when(folded >= 1 << 31, folded - (1 << 32)).otherwise(folded)
+
+
+def row_order(resolved: Resolved, memory_pages: int) -> list[Column]:
+    """Sort keys that give the order in which the last join's algorithm meets pairs."""
+    rids = [F.col(s.rid) for s in resolved.scans]
+    if not resolved.joins:
+        return rids
+    left, right = rids[:-1], rids[-1]
+    column, _, algorithm = resolved.joins[-1]
+    outer, inner = resolved.scans[-2], resolved.scans[-1]
+    if algorithm is JoinAlgorithm.PNLJ:
+        return [outer.page, inner.page, *left, right]
+    if algorithm is JoinAlgorithm.BNLJ:
+        return [F.floor(outer.page / (memory_pages - 2)), inner.page, *left, right]
+    if algorithm is JoinAlgorithm.GHJ:
+        return [F.pmod(_key_hash(column), F.lit(memory_pages - 1)), right, *left]
+    if algorithm is JoinAlgorithm.SMJ:
+        return [F.col(column.physical), *left, right]
+    return [*left, right]
+
+
+def compile_query(resolved: Resolved, order: list | None = None, ordered: bool = False, memory_pages: int = 5) -> DataFrame:
+    """``ordered`` sorts a result without aggregates as the last join's algorithm would emit it."""
     query, scope = resolved.query, resolved.scope
     projected = None if query.columns is None else [(c, resolve(c, scope)) for c in query.columns]
     group = None if query.group_column is None else resolve(query.group_column, scope)
     firsts = [] if projected is None or not query.aggregates else [(n, c) for n, c in projected if c != group]
     needs_order = bool(firsts) and all(s.table.order for s in resolved.scans)
-    df = joined(resolved, order, needs_order)
+    if ordered and (query.aggregates or group is not None):
+        raise QueryPlanError("Error: groups and aggregates have no order of rows")
+    df = joined(resolved, order, needs_order, ordered)
+    if ordered:
+        df = df.orderBy(*row_order(resolved, memory_pages))
 
     if query.aggregates:
         place = F.struct(*[c for s in resolved.scans for c in s.order]) if needs_order else None
