@@ -39,13 +39,13 @@ from .storage import materialize, release
 WIDTH, PERCENT = 5, 75
 #: A null document id; it comes after all others.
 NULL_ID = (1 << 63) - 1
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Shingles of sets that are counted together in the second step.
 BLOCK_SHINGLES = 1 << 19
 #: Entries that one counting range gets on average, and the least number of ranges.
 RANGE_ENTRIES, MIN_RANGES = 1 << 21, 256
-#: Rounds in which lists are compared with a leader before all pairs left are.
-LEADER_ROUNDS = 2
+#: Leaders that a list draws in each round after the first, before all pairs left are compared.
+DRAWS = (4, 32)
 #: Size blocks: each holds the sizes within this ratio.
 SIZE_RATIO = 1.15
 MANY = 0xFFFF
@@ -356,10 +356,18 @@ class _Links:
         self.merge(done.filter(self.passes(F.col("overlap"))).select("a", "b"))
 
     def merge(self, links: DataFrame) -> None:
-        if self.classes is not None:
-            links = links.unionByName(self.classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        before, self.classes = self.classes, connected_components(links, "a", "b")
-        release(before)
+        """Join the classes that links ``a, b`` connect.  Only links between different
+        classes are followed, so a group is not walked again once it is one class."""
+        old = self.classes
+        if old is None:
+            self.classes = connected_components(links, "a", "b")
+            return
+        for end in ("a", "b"):
+            links = links.join(old.select(F.col("node").alias(end), F.col("component").alias(f"{end}_class")), end, "left").withColumn(end, F.coalesce(f"{end}_class", end)).select("a", "b")
+        joined = connected_components(links.filter("a <> b").distinct(), "a", "b")
+        moved = old.join(joined.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+        self.classes = materialize(moved.unionByName(joined), "classes")
+        release(old)
 
     def labelled(self, postings: DataFrame) -> DataFrame:
         return postings.join(self.classes, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
@@ -371,11 +379,28 @@ class _Links:
         return ways[0].unionByName(ways[1]).groupBy("node").agg(F.max_by(F.struct("anchor", "common", "anchor_n"), F.struct(likeness, F.col("anchor"))).alias("best")).select("node", "best.*")
 
 
-def _with_leaders(rows: DataFrame, number: int) -> DataFrame:
-    """Each list's leader in this round; lists that lie in one class are skipped."""
-    leader = F.min_by(F.struct("node", "n", "pos", "c"), F.xxhash64("node", F.lit(number)))
-    lists = rows.groupBy("h").agg(leader.alias("lead"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("h", "lead")
-    return rows.join(lists, "h").filter("c <> lead.c")
+def _first_leaders(postings: DataFrame) -> DataFrame:
+    """Every entry of a list of two or more with the list's leader.  Most lists of
+    a group share theirs, so that a set is compared with few others."""
+    leader = F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node")).alias("lead")
+    lists = postings.groupBy("h").agg(leader, F.count("*").alias("size")).filter("size > 1").select("h", "lead.*")
+    lists = lists.toDF("h", "m", "m_n", "m_pos")
+    return postings.join(lists, "h").filter("node <> m")
+
+
+def _drawn_leaders(rows: DataFrame, number: int, draws: int, percent: int) -> DataFrame:
+    """Entries outside the largest class of their list with about ``draws`` entries
+    of that class, drawn by a hash among those whose position admits partners of
+    their own size.  Lists that lie in one class are skipped."""
+    rows = rows.withColumn("fit", (F.col("n") - F.col("pos")) * (100 + percent) >= F.col("n") * 2 * percent)
+    classes = rows.groupBy("h", "c").agg(F.count("*").alias("size"), F.count_if("fit").alias("fits"))
+    main = F.max_by(F.struct(F.col("c").alias("main"), "fits"), F.struct("size", "c")).alias("main")
+    lists = classes.groupBy("h").agg(main, F.count("*").alias("classes")).filter("classes > 1").select("h", "main.*")
+    rows = rows.join(lists, "h")
+    one_in = F.greatest(F.lit(1), F.floor(F.col("fits") / draws))
+    drawn = rows.filter((F.col("c") == F.col("main")) & F.col("fit") & (F.pmod(F.xxhash64("node", "h", F.lit(number)), one_in) == 0))
+    drawn = drawn.select("h", F.col("node").alias("m"), F.col("n").alias("m_n"), F.col("pos").alias("m_pos"))
+    return rows.filter("c <> main").join(drawn, "h")
 
 
 def _admissible(na: str, pa_: str, nb: str, pb: str, percent: int) -> Column:
@@ -452,9 +477,8 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     postings = materialize(_exchange(counted, "block", parts).mapInArrow(_prefixes(percent), "h long, node long, n int, pos int"), "postings")
 
     links = _Links(sets, percent)
-    for number in range(LEADER_ROUNDS):
-        rows = postings.withColumn("c", F.col("node")) if links.classes is None else links.labelled(postings)
-        met = _with_leaders(rows, number).withColumns({"m": F.col("lead.node"), "m_n": F.col("lead.n"), "m_pos": F.col("lead.pos")})
+    for number, draws in enumerate((1, *DRAWS)):
+        met = _drawn_leaders(links.labelled(postings), number, draws, percent) if number else _first_leaders(postings)
         links.check(met.filter(_admissible("n", "pos", "m_n", "m_pos", percent)).select(*_pair("node", "n", "m", "m_n")))
     left = materialize(_pairs_left(links.labelled(postings), links).groupBy("a", "b", "na", "nb").agg(F.max("low").alias("low"), F.min("high").alias("high")), "left")
     links.check(left.filter(links.passes(F.col("high")) & ~links.passes(F.col("low"))).select("a", "b", "na", "nb"))
