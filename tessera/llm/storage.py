@@ -6,29 +6,13 @@ executor then costs a re-read of shared files and no recomputation.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-_local_root: str | None = None
+from tessera.sources.workspace import shared_root
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; unset on a cluster, the warehouse
-    (shared by definition); unset in local mode, a temporary folder."""
-    global _local_root
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera_work"
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
-    return "file://" + _local_root
+__all__ = ["materialize", "release", "shared_root"]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
