@@ -1,6 +1,6 @@
 """Quality classifier: a linear hinge-loss model on naive Bayes features.
 
-Indicators of hashed byte n-grams are scaled by the log-ratio of their counts in
+Indicators of hashed byte trigrams and of repeated-word pairs are scaled by the log-ratio of their counts in
 the two classes; a support vector machine on these features is fitted by dual
 coordinate descent on a bounded sample of labelled rows, and its margin is
 turned into a probability by a logistic fit.  Scoring covers whole texts.
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 
-#: Buckets of hashed byte trigrams.
-FEATURES = 1 << 15
+#: Buckets of hashed byte trigrams, and the numbers of word pairs "w w" that have an indicator of their own.
+BUCKETS, PAIRS = 1 << 15, (1, 2, 4, 8)
+FEATURES = BUCKETS + len(PAIRS)
 #: Labelled documents that training reads at most (chosen by a hash of the id); a documented bound.
 MAX_TRAINING_DOCS = 4000
 #: Added to both classes' counts.
@@ -44,17 +45,33 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return (((two << np.uint32(16)) | (one << np.uint32(8)) | x) * np.uint32(0x85EBCA6B)) >> np.uint32(17)
 
 
+def _equal_pairs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Number of words in each row that equal the word before."""
+    starts, ends, first = tk.word_spans(data, offsets)
+    words = tk.span_hashes(tk.LOWERED[data], starts, ends)
+    equal = np.zeros(len(words) + 1, np.int64)
+    if len(words):
+        same = words[1:] == words[:-1]
+        heads = first[(first > 0) & (first < len(words))]
+        same[heads - 1] = False
+        np.cumsum(same, out=equal[2:])
+    return equal[first[1:]] - equal[first[:-1]]
+
+
 def indicators(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) of each feature present, ordered by row; rows are taken in
     groups so that the presence table stays small."""
     codes = _codes(data, offsets)
     n = len(offsets) - 1
+    twice = _equal_pairs(data, offsets)
     rows, features = [], []
     for a in range(0, n, 512):
         b = min(a + 512, n)
         row = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
         seen = np.zeros((b - a) * FEATURES, bool)
         seen[row * FEATURES + codes[offsets[a] : offsets[b]]] = True
+        for k, least in enumerate(PAIRS):
+            seen[np.flatnonzero(twice[a:b] >= least) * FEATURES + BUCKETS + k] = True
         at = np.flatnonzero(seen)
         rows.append(at // FEATURES + a)
         features.append(at % FEATURES)
@@ -62,13 +79,19 @@ def indicators(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class QualityModel:
-    """weights by feature, intercept, and the logistic map from margin to probability."""
+    """Log-count ratios and weights by feature, intercept, and the logistic map from margin to probability."""
+
+    def __init__(self, ratios: np.ndarray, weights: np.ndarray, bias: float, slope: float, shift: float):
+        self.ratios, self.weights, self.bias, self.slope, self.shift = ratios, weights, bias, slope, shift
 
-    def __init__(self, weights: np.ndarray, bias: float, slope: float, shift: float):
-        self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
+    def margins(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+        """Margins of the scaled indicators at unit length, as in training: short and long texts compare."""
+        ratio = self.ratios[feature]
+        length = np.sqrt(np.bincount(row, weights=ratio * ratio, minlength=n) + 1.0)
+        return (np.bincount(row, weights=self.weights[feature] * ratio, minlength=n) + self.bias) / length
 
     def scores(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-        margin = np.bincount(row, weights=self.weights[feature], minlength=n) + self.bias
+        margin = self.margins(row, feature, n)
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.shift, -35, 35)))
 
 
@@ -77,11 +100,12 @@ def fit(examples: list[np.ndarray], labels: np.ndarray) -> QualityModel:
     y = np.where(labels == 1, 1.0, -1.0)
     if not len(y) or len(set(y)) < 2:
         share = float(np.clip((labels == 1).mean() if len(y) else 0.5, 0.01, 0.99))
-        return QualityModel(np.zeros(FEATURES), 0.0, 1.0, float(np.log(share / (1 - share))))
+        return QualityModel(np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 1.0, float(np.log(share / (1 - share))))
     counts = np.full((2, FEATURES), SMOOTHING)
     for f, label in zip(examples, labels):
         counts[int(label == 1), f] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    ratio[counts.sum(0) == 2 * SMOOTHING] = 0.0  # never seen
     values = [ratio[f] for f in examples]
     norms = np.array([np.sqrt(v @ v + 1.0) for v in values])
     values = [v / s for v, s in zip(values, norms)]  # unit length, so a long text is no outlier
@@ -104,10 +128,10 @@ def fit(examples: list[np.ndarray], labels: np.ndarray) -> QualityModel:
                 worst = max(worst, abs(step))
         if worst < 1e-3:
             break
-    weights = w * ratio
-    margins = np.array([weights[f].sum() + b for f in examples])
-    slope, shift = _logistic(margins, (y > 0).astype(float))
-    return QualityModel(weights, b, slope, shift)
+    model = QualityModel(ratio, w, b, 1.0, 0.0)
+    row = np.repeat(np.arange(len(examples)), [len(f) for f in examples])
+    model.slope, model.shift = _logistic(model.margins(row, np.concatenate(examples), len(examples)), (y > 0).astype(float))
+    return model
 
 
 def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -164,7 +188,7 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -
     and get the score of the intercept.
     """
     keep = keep or ["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.slope, model.shift))  # 256 KB
+    shared = docs.sparkSession.sparkContext.broadcast((model.ratios, model.weights, model.bias, model.slope, model.shift))  # 512 KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = QualityModel(*shared.value)
