@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.predicates import PredicateOperator as Op
 from ..schema import Schema
-from .histograms import ALPHANUMERIC, F32, INT_BUCKETS, BoolHistogram, FloatHistogram, Histogram, IntHistogram, StringHistogram, doubled_range, empty_histogram, scaled
+from ..types import ColumnType
+from .histograms import ALPHANUMERIC, F32, INT_BUCKETS, INT_RANGE, BoolHistogram, Histogram, IntHistogram, StringHistogram, doubled_range, empty_histogram, scaled
 
 
 @dataclass(frozen=True)
@@ -46,45 +48,49 @@ class TableStats:
         return TableStats(Schema(names, [*self.schema.types, *other.schema.types]), tuple(joined), int(F32(rows) * factor))
 
 
-def measure(df: DataFrame, schema: Schema) -> TableStats:
-    """Statistics of a table in two aggregations: ranges and distinct counts, then
-    the bucket counts of all columns at once."""
+def measure(df: DataFrame, schema: Schema, known: dict[str, Histogram] | None = None, columns: Iterable[str] | None = None) -> TableStats:
+    """Statistics of a table, read from the given columns only (all if None).
+
+    Three aggregations, whatever the number of columns: ranges, bucket counts,
+    distinct values.  ``known`` holds histograms by column that are measured
+    already, and gets the new ones; columns that are neither stay empty.
+    """
+    known = {} if known is None else known
+    wanted = [c for c in (schema.names if columns is None else dict.fromkeys(columns)) if c not in known]
+    kinds = {c: schema.types[schema.index(c)] for c in wanted}
     ranges = [F.count(F.lit(1)).alias("n")]
-    for i, (name, kind) in enumerate(zip(schema.names, schema.types)):
-        if kind.numeric:
-            ranges += [F.min(scaled(F.col(name), kind)).alias(f"min{i}"), F.max(scaled(F.col(name), kind)).alias(f"max{i}")]
+    for i, c in enumerate(wanted):
+        if kinds[c].numeric:
+            ranges += [F.min(scaled(F.col(c), kinds[c])).alias(f"min{i}"), F.max(scaled(F.col(c), kinds[c])).alias(f"max{i}")]
     seen = df.agg(*ranges).first()
-    if not seen["n"]:
-        return TableStats(schema, tuple(empty_histogram(t) for t in schema.types), 0)
-    halves = {i: doubled_range(seen[f"min{i}"], seen[f"max{i}"]) for i, t in enumerate(schema.types) if t.numeric}
-    counts = []
-    for i, (name, kind) in enumerate(zip(schema.names, schema.types)):
-        value = F.col(name)
-        if kind.numeric:
-            value = scaled(value, kind)
-            bucket, size = IntHistogram.bucket(value, halves[i]), INT_BUCKETS
-        elif kind.family == "STRING":
-            value = F.lower(value)
-            bucket, size = StringHistogram.bucket(value), len(ALPHANUMERIC) + 1
-        elif kind.family == "BOOL":
-            bucket, size = BoolHistogram.bucket(value), 2
-        else:
-            continue
-        counts += [F.count_if(bucket == b).alias(f"c{i}_{b}") for b in range(size)]
-    found = df.agg(*counts).first() if counts else None
-    distinct = df.select(*[F.approx_count_distinct(c, 0.01).alias(c) for c in schema.names]).first() if seen["n"] > EXACT_DISTINCT_ROWS else df.select(*[F.count_distinct(c).alias(c) for c in schema.names]).first()
-    histograms: list[Histogram] = []
-    for i, kind in enumerate(schema.types):
-        if kind.name == "TIMESTAMP":
-            histograms.append(replace(empty_histogram(kind), distinct=distinct[i]))
-            continue
-        size = INT_BUCKETS if kind.numeric else 2 if kind.family == "BOOL" else len(ALPHANUMERIC) + 1
-        own = tuple(found[f"c{i}_{b}"] for b in range(size))
-        if kind.numeric:
-            histograms.append((FloatHistogram if kind.family == "FLOAT" else IntHistogram)(own, distinct[i], halves[i]))
-        else:
-            histograms.append((StringHistogram if kind.family == "STRING" else BoolHistogram)(own, distinct[i]))
-    return TableStats(schema, tuple(histograms), seen["n"])
+    n = seen["n"]
+    if n and wanted:
+        halves = {c: doubled_range(seen[f"min{i}"], seen[f"max{i}"]) for i, c in enumerate(wanted) if kinds[c].numeric}
+        counts = []
+        for i, c in enumerate(wanted):
+            bucket, size = _bucket(c, kinds[c], halves.get(c))
+            counts += [F.count_if(bucket == b).alias(f"c{i}_{b}") for b in range(size)]
+        found = df.agg(*counts).first() if counts else None
+        exact = n <= EXACT_DISTINCT_ROWS
+        values = [F.lower(c) if kinds[c].family == "STRING" else F.col(c) for c in wanted]
+        distinct = df.agg(*[F.count_distinct(v) if exact else F.approx_count_distinct(v, 0.01) for v in values]).first()
+        for i, c in enumerate(wanted):
+            size = _bucket(c, kinds[c], halves.get(c))[1]
+            own = tuple(found[f"c{i}_{b}"] for b in range(size)) if size else empty_histogram(kinds[c]).counts
+            histogram = replace(empty_histogram(kinds[c]), counts=own, distinct=distinct[i])
+            known[c] = replace(histogram, half=halves[c]) if c in halves else histogram
+    return TableStats(schema, tuple(known.get(c) or empty_histogram(t) for c, t in zip(schema.names, schema.types)), n)
+
+
+def _bucket(name: str, kind: ColumnType, half: int | None) -> tuple[Column | None, int]:
+    """The bucket of a column's value, and how many there are."""
+    if kind.numeric:
+        return IntHistogram.bucket(scaled(F.col(name), kind), half or INT_RANGE), INT_BUCKETS
+    if kind.family == "STRING":
+        return StringHistogram.bucket(F.col(name)), len(ALPHANUMERIC) + 1
+    if kind.family == "BOOL":
+        return BoolHistogram.bucket(F.col(name)), 2
+    return None, 0
 
 
 #: Up to so many rows distinct values are counted exactly; the counts only steer plan choice.

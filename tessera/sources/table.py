@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DatabaseError
+from ..functions.histograms import Histogram
 from ..functions.numbering import number_rows
 from ..functions.stats import TableStats, measure
 from ..schema import RID, RecordID, Schema
@@ -38,7 +38,8 @@ class ExternalTable:
         self.name, self.path, self.key = name, path, tuple(key)
         self.schema = Schema.of_spark(frame.select(*[c for c in frame.columns if c != RID]).schema, sizes)
         self.indices: list[str] = []
-        self._frame, self._stats, self._size = frame, None, None
+        self._frame, self._size = frame, None
+        self._histograms: dict[str, Histogram] = {}
         for column in self.key:
             self.schema.index(column)
 
@@ -65,10 +66,9 @@ class ExternalTable:
     def last_rid(self) -> int:
         return self.num_records() - 1
 
-    def stats(self) -> TableStats:
-        if self._stats is None:
-            self._stats = measure(self._frame, self.schema)
-        return self._stats
+    def stats(self, columns: Iterable[str] | None = None) -> TableStats:
+        """Statistics with the histograms of the given columns, or of all."""
+        return measure(self._frame, self.schema, self._histograms, columns)
 
 
 class StoredTable:
@@ -80,7 +80,7 @@ class StoredTable:
     def __init__(self, spark: SparkSession, root: str, name: str, schema: Schema, indices: Sequence[str] = (), segments: list[dict] | None = None):
         self.spark, self.root, self.name, self.schema = spark, root, name, schema
         self.indices, self.segments = list(indices), list(segments or [])
-        self._stats: TableStats | None = None
+        self._histograms: dict[str, Histogram] = {}  # of the present rows
         self._files = Files(spark)
         self._old: list[str] = []
 
@@ -113,10 +113,9 @@ class StoredTable:
     def last_rid(self) -> int:
         return max((s["last"] for s in self.segments), default=-1)
 
-    def stats(self) -> TableStats:
-        if self._stats is None:
-            self._stats = measure(self.numbered(), self.schema)
-        return self._stats
+    def stats(self, columns: Iterable[str] | None = None) -> TableStats:
+        """Statistics with the histograms of the given columns, or of all."""
+        return measure(self.numbered(), self.schema, self._histograms, columns)
 
     # Writing; each returns with the new list in place, to be saved by the catalog
 
@@ -132,7 +131,7 @@ class StoredTable:
     def _become(self, segments: list[dict]) -> None:
         kept = {s["path"] for s in segments}
         self._old += [s["path"] for s in self.segments if s["path"] not in kept]
-        self.segments, self._stats = segments, None
+        self.segments, self._histograms = segments, {}
 
     def discard_old(self) -> None:
         """Delete segments that the saved state no longer names."""
@@ -214,6 +213,3 @@ class StoredTable:
     def drop(self) -> None:
         self._files.delete(f"{self.root}/{self.name}")
 
-
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
