@@ -177,5 +177,45 @@ FROM judged GROUP BY doc_id
 """
 
 
+_OP5 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(range(1, GREATEST(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM places
+), sizes AS (
+  SELECT doc_id, COUNT(*) AS n FROM shingles GROUP BY doc_id
+), shared_counts AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT o.a, o.b FROM shared_counts o JOIN sizes x ON o.a = x.doc_id JOIN sizes y ON o.b = y.doc_id WHERE 100 * o.common >= 75 * (x.n + y.n - o.common)
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a, MIN(b) AS b FROM reach GROUP BY a
+)
+SELECT d.doc_id, COALESCE(s.n, 0) AS n_shingles, LEAST(d.doc_id, COALESCE(l.b, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN least l ON d.doc_id = l.a
+"""
+
+_OP6 = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), sound AS (
+  SELECT vec_id, v FROM vectors
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), found AS (
+  SELECT v.vec_id, (SELECT COUNT(*) FROM links WHERE a = v.vec_id) AS n_links, LEAST(v.vec_id, COALESCE((SELECT MIN(b) FROM reach WHERE a = v.vec_id), v.vec_id)) AS component_id
+  FROM vectors v
+)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _OP4, "op3_curriculum_mix": _OP3, "op8_url_equivalence": "WITH RECURSIVE" + _OP8.lstrip().removeprefix("WITH")}
+    return {"op5_jaccard_join": _OP5, "op6_embed_dedup": _OP6, "op4_line_dedup": _OP4, "op3_curriculum_mix": _OP3, "op8_url_equivalence": "WITH RECURSIVE" + _OP8.lstrip().removeprefix("WITH")}
