@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Collection, Iterator
 from math import log2
 
 import numpy as np
@@ -55,6 +56,8 @@ KEY_ROWS = ("`1234567890-=", " qwertyuiop[]", " asdfghjkl;'", " zxcvbnm,./")
 LEET = str.maketrans("@4013$5!7", "aaoiessit")
 DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])([-/._])(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d", re.ASCII)
 
+WORD = re.compile(r"[^\W\d_]{3,24}")
+
 
 def _neighbours() -> set[tuple[str, str]]:
     at = {c: (x, y) for y, row in enumerate(KEY_ROWS) for x, c in enumerate(row) if c != " "}
@@ -80,7 +83,7 @@ def _run_ends(n: int, holds) -> list[int]:
     return ends
 
 
-def guess_bits(value: str, words: set[str] | None = None) -> float:
+def guess_bits(value: str, words: Collection[str] | None = None) -> float:
     """Least cost of guessing ``value``, in bits; linear in its length.
 
     ``words`` are further words that a guesser would try, such as those of the
@@ -152,21 +155,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+class _Elsewhere:
+    """Words that a text holds more often than one of its values does."""
+
+    def __init__(self, counts: Counter, own: Counter):
+        self.counts, self.own = counts, own
+
+    def __contains__(self, word: str) -> bool:
+        return self.counts[word] > self.own[word]
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+
+def _word_counts(text: str) -> Counter:
+    return Counter(WORD.findall(text.lower()))
+
+
 def guess_spans(text: str) -> list[tuple[int, int, int]]:
     """Values in credential context that are costly to guess; the span is the value alone."""
     out: list[tuple[int, int, int]] = []
-    words: set[str] | None = None
+    counts: Counter | None = None
     for m in CONTEXT.finditer(text):
         start, end = m.span(1)
         while end > start and text[end - 1] in ".!?)]}":
             end -= 1
         if end - start < 6:
             continue
-        if words is None:
-            words = {w for w in re.findall(r"[^\W\d_]{3,24}", text.lower())}
-        own = text[start:end].lower()
-        around = words if text.lower().count(own) > 1 else words - set(re.findall(r"[^\W\d_]{3,24}", own))
-        if guess_bits(text[start:end], around) >= MIN_BITS:
+        counts = _word_counts(text) if counts is None else counts
+        if guess_bits(text[start:end], _Elsewhere(counts, _word_counts(text[start:end]))) >= MIN_BITS:
             out.append((start, 3, end))
     return out
 
