@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame, left: str = "src", right: str = "dst"
         if before[0] == 0:
             break
         large = _oriented(_large_star(current))
-        after_round = materialize(_oriented(_small_star(large)), "edges")
+        after_round = materialize(_oriented(_small_star(large)), "edges", 2 * before[0])
         after = _checksum(after_round)
         release(current)
         current = after_round

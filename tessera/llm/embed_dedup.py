@@ -230,7 +230,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     links = found.filter("other is null").groupBy("rid").agg(F.sum("links").alias("links"))
     classes = connected_components(found.filter("other is not null"), "rid", "other").select(F.col("node").alias("rid"), F.col("component").alias("root"))
     linked = members.join(copies, "rid", "left").join(links, "rid", "left").join(classes, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    least = linked.filter("good").groupBy("root").agg(F.min("vec_id").alias("least"))
+    linked = materialize(linked, "linked")
+    # Written first, so that the join below is one of two tables and a large class can be split.
+    least = materialize(linked.filter("good").groupBy("root").agg(F.min("vec_id").alias("least")), "least")
     n_links = F.when(F.col("good"), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0))
     component = F.when(F.col("good"), F.col("least")).otherwise(F.col("vec_id"))
     out = linked.join(least, "root", "left").select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"))

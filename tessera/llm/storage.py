@@ -15,9 +15,19 @@ from tessera.sources.workspace import shared_root
 __all__ = ["materialize", "release", "shared_root"]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
+#: Rows of a file, for tables of a few columns whose size is known.
+FILE_ROWS = 50_000
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return the written table.
+
+    ``rows`` is a bound of a narrow table's rows where one is known: then it is
+    written in as few files as fit, and not in one for each shuffle partition.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // FILE_ROWS))))
     path = f"{shared_root(spark)}/tessera-{uuid.uuid4().hex}-{label}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
