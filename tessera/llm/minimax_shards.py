@@ -64,6 +64,33 @@ class Ranges:
                 high = mid
         return low
 
+    def balanced(self, capacity: int, shards: int) -> tuple[list[int], set[int]]:
+        """Cuts within the capacity, each as near as possible to an even share of what
+        is left, and the divisible ranges in which such a share ends.
+
+        A cut stays where the rest still fits: at or behind the least position from
+        which the shards to come can hold it, found greedily from the end.
+        """
+        starts = [0, *self.ends[:-1]]
+        least, at = [0] * shards, self.total
+        for j in range(shards - 1, 0, -1):
+            at = least[j] = starts[min(bisect_left(starts, at - capacity), len(starts) - 1)]
+        cuts: list[int] = []
+        unclear: set[int] = set()
+        have = 0
+        for j in range(1, shards):
+            share = have + (self.total - have) / (shards - j + 1)
+            k = min(bisect_left(self.ends, share), len(self.ends) - 1)
+            near = [p for p in (starts[k], self.ends[k], least[j]) if max(have + 1, least[j]) <= p <= have + capacity]
+            near = near or [self.ends[bisect_right(self.ends, have)]]
+            have = min(near, key=lambda p: abs(p - share))
+            if have >= self.total:
+                break
+            if self.ranges[k][3] > 1:
+                unclear.add(k)
+            cuts.append(have)
+        return cuts, unclear
+
     def uncertain(self, low: int, high: int, shards: int) -> list[int]:
         """Indexes of divisible ranges that a cut can fall into for some capacity from low to high."""
         found: set[int] = set()
@@ -85,8 +112,9 @@ def _summary(groups: DataFrame, shift: int) -> DataFrame:
 def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
     """First hashes of shards 1, 2, … and the smallest feasible capacity.
 
-    ``groups`` has one row ``h, bytes`` per atomic group; it is read once per
-    level of detail, at most eight times and as a rule two or three times.
+    The cuts keep to that capacity and lie as near as it admits to even shares.
+    ``groups`` has one row ``h, bytes`` per atomic group; it is read once for
+    each refinement of the summary, as a rule three to five times.
     """
     rows = _summary(groups, FIRST_SHIFT).collect()  # at most 2 ** (64 - FIRST_SHIFT) rows
     known = Ranges([(r["k"] << FIRST_SHIFT, FIRST_SHIFT, r["bytes"], r["n"], r["most"]) for r in rows])
@@ -94,17 +122,26 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
         low, high = known.smallest(shards, True), known.smallest(shards, False)
         if low == high:
             break
-        finer, kept = [], set(known.uncertain(low, high, shards)) or {i for i, r in enumerate(known.ranges) if r[3] > 1}
-        for shift in sorted({known.ranges[i][1] for i in kept}, reverse=True):
-            keys = [known.ranges[i][0] >> shift for i in kept if known.ranges[i][1] == shift]
-            below = max(0, shift - STEP)
-            parts = _summary(groups.filter(F.shiftright("h", shift).isin(keys)), below).collect()
-            finer += [(r["k"] << below, below, r["bytes"], r["n"], r["most"]) for r in parts]
-        known = Ranges([r for i, r in enumerate(known.ranges) if i not in kept] + finer)
-    cuts = []
-    for position in known.greedy(high, shards, False) or []:
-        cuts.append(known.ranges[bisect_right(known.ends, position)][0])
-    return cuts, high
+        known = _finer(groups, known, set(known.uncertain(low, high, shards)) or {i for i, r in enumerate(known.ranges) if r[3] > 1})
+    if not known.total:
+        return [], 0
+    while True:
+        positions, unclear = known.balanced(high, shards)
+        if not unclear:
+            break
+        known = _finer(groups, known, unclear)
+    return [known.ranges[bisect_right(known.ends, p)][0] for p in positions], high
+
+
+def _finer(groups: DataFrame, known: Ranges, chosen: set[int]) -> Ranges:
+    """The summary with the chosen ranges replaced by finer ones."""
+    finer = []
+    for shift in sorted({known.ranges[i][1] for i in chosen}, reverse=True):
+        keys = [known.ranges[i][0] >> shift for i in chosen if known.ranges[i][1] == shift]
+        below = max(0, shift - STEP)
+        parts = _summary(groups.filter(F.shiftright("h", shift).isin(keys)), below).collect()
+        finer += [(r["k"] << below, below, r["bytes"], r["n"], r["most"]) for r in parts]
+    return Ranges([r for i, r in enumerate(known.ranges) if i not in chosen] + finer)
 
 
 def text_hash(text: Column) -> Column:

@@ -120,6 +120,8 @@ def test_capacity_is_the_least(spark, monkeypatch, seed, shards):
     assert capacity == brute_capacity(ordered, shards)
     filled = np.bincount(np.searchsorted(sorted(cuts), h, "right"), size)
     assert len(cuts) < shards and filled.max() <= capacity
+    if not seed % 2:
+        assert len(filled) == shards and np.abs(filled - size.sum() / shards).max() <= size.max()
 
 
 def test_few_groups(spark):
