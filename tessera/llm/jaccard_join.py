@@ -334,8 +334,8 @@ def _range_bits(entries: int) -> int:
 class _Links:
     """Overlaps computed so far and the classes of linked sets."""
 
-    def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent = sets, percent
+    def __init__(self, sets: DataFrame, count: int, percent: int):
+        self.sets, self.count, self.percent = sets, count, percent
         self.checked: DataFrame | None = None  # a, b, na, nb, overlap with a < b
         self.edges: DataFrame | None = None
         self.classes: DataFrame | None = None  # node, component
@@ -366,7 +366,7 @@ class _Links:
             links = links.join(old.select(F.col("node").alias(end), F.col("component").alias(f"{end}_class")), end, "left").withColumn(end, F.coalesce(f"{end}_class", end)).select("a", "b")
         joined = connected_components(links.filter("a <> b").distinct(), "a", "b")
         moved = old.join(joined.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left").select("node", F.coalesce("further", "component").alias("component"))
-        self.classes = materialize(moved.unionByName(joined), "classes")
+        self.classes = materialize(moved.unionByName(joined), "classes", self.count)
         release(old)
 
     def labelled(self, postings: DataFrame) -> DataFrame:
@@ -471,12 +471,12 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     reps = stats.filter("open").groupBy("node").agg(F.min("doc_id").alias("rep"))
     texts = docs.withColumn("rep", F.coalesce("doc_id", F.lit(NULL_ID))).join(reps, "rep").select("node", "text")
     sets = materialize(texts.mapInArrow(_named_sets(width), "node long, n int, hashes array<long>").dropDuplicates(["node"]), "shingles")
-    total = sets.agg(F.sum("n")).first()[0] or 0
+    count, total = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     sent = sets.select("node", "hashes").mapInArrow(_send_sets(_range_bits(total)), _MESSAGE)
     counted = _exchange(sent, "dest", parts).mapInArrow(_total_ranges, _MESSAGE)
     postings = materialize(_exchange(counted, "block", parts).mapInArrow(_prefixes(percent), "h long, node long, n int, pos int"), "postings")
 
-    links = _Links(sets, percent)
+    links = _Links(sets, count, percent)
     for number, draws in enumerate((1, *DRAWS)):
         met = _drawn_leaders(links.labelled(postings), number, draws, percent) if number else _first_leaders(postings)
         links.check(met.filter(_admissible("n", "pos", "m_n", "m_pos", percent)).select(*_pair("node", "n", "m", "m_n")))
@@ -485,7 +485,8 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     links.merge(left.filter(links.passes(F.col("low"))).select("a", "b"))
 
     rooted = stats.join(links.classes, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("component", "node")))
-    least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # Written first, so that the join below is one of two tables and a large class can be split.
+    least = materialize(rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     real = lambda c: F.when(c != NULL_ID, c)
     out = rooted.join(least, "root", "left")
     return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("least", "doc_id")).alias("component_id"))
