@@ -21,7 +21,7 @@ class JoinAlgorithm(enum.Enum):
 
 
 #: A nested loop compares all pairs: it is taken up to so many bytes times bytes.
-NESTED_LOOP_LIMIT = 1 << 40
+NESTED_LOOP_LIMIT = 1 << 36
 #: A side is broadcast, or built into a hash table by partition, up to so many bytes.
 BROADCAST_LIMIT, BUILD_LIMIT = 64 << 20, 256 << 20
 
