@@ -86,7 +86,8 @@ def mix_sources(
     by less than one.  ``positions`` has one entry for each time a document is
     (wholly or in part) taken.  Null texts have no words, and null sources form
     one source that ranks last.  Null ids sort first.  Repeated ids stay
-    separate rows.
+    separate rows.  Without documents the result is empty; further columns are
+    ignored.
     """
     text = F.col("text").cast("string")
     order = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))

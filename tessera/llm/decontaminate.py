@@ -220,6 +220,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None =
     benchmark.  Items without words match nothing; repeated items count once; a
     null item id stays null.  The index is broadcast in parts of at most
     ``INDEX_BYTES`` of item text, each of which reads the documents' texts once.
+    Further columns of either table are ignored.
     """
     keep = keep or ["doc_id"]
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0").distinct()

@@ -204,7 +204,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     and zero vectors and those with null or non-finite components link with
     nothing, nor do vectors of different lengths with each other.  A null id
     links with nothing and has null component and kept.  Rows that repeat an id
-    are vectors of their own and count as links of each other.
+    are vectors of their own and count as links of each other.  An empty table gives an empty one; further columns
+    are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn("rid", F.xxhash64("embedding"))

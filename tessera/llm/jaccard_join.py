@@ -458,7 +458,7 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     row per input row.  Null and empty texts have empty sets, link with nothing
     and are their own components.  Rows that repeat an id are documents of their
     own.  A null id comes after all others; a class of null ids alone has a
-    null component.
+    null component.  An empty table gives an empty one; further columns are ignored.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -210,6 +210,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     that have letters.  ``und`` with score 0 for null texts, texts without any
     letter, and if no language was learned.  ``spans`` lists
     ``[first word, end word, language]`` as JSON for mixed texts, else is null.
+    Further columns are ignored, and repeated rows are judged each by itself.
     """
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.uses))  # 256 KB a language

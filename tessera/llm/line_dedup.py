@@ -287,7 +287,8 @@ def deduplicate_lines(docs: DataFrame, keep: list[str] | None = None) -> DataFra
     ``n_lines, n_dropped, kept`` (the text that stays), one row per input row.
     Null and empty texts have one empty line.  Rows with equal ids are one
     document and lose the same lines; null ids are one document that comes
-    after all others.
+    after all others.  An empty table gives an empty one; further columns are
+    ignored.
     """
     keep = keep or ["doc_id"]
     lists = materialize(duplicate_line_lists(docs), "losses").groupBy("_t_id").agg(F.collect_list("_t_lost").alias("_t_lost"))  # a list for each block that holds the id

@@ -184,7 +184,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, keep: list[str] | None =
     input row.  A null text has size 1 and a null checksum and forms a group of
     its own beside the empty text.  A group larger than an even share makes its
     shard larger, as equal texts stay together.  With few groups some shards
-    are empty.  Null and repeated ids are kept and get slots of their own.
+    are empty.  Null and repeated ids are kept and get slots of their own.  An
+    empty table gives an empty one; further columns are ignored.
     """
     keep = keep or ["doc_id"]
     text = F.col("text").cast("string")

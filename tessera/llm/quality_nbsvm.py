@@ -185,7 +185,8 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -
 
     Returns the columns named in ``keep`` and ``score`` (0 to 1, higher: label 1
     is likelier), one row per input row.  Null and empty texts have no features
-    and get the score of the intercept.
+    and get the score of the intercept.  Further columns are ignored, and repeated
+    rows are scored each by itself.
     """
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast((model.ratios, model.weights, model.bias, model.slope, model.shift))  # 512 KB

@@ -224,7 +224,8 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     Returns the columns named in ``keep`` and ``n_assign, n_access, n_hex,
     n_guess, base_sha256, spans``, one row per input row.  Positions are code
-    points.  Null and empty texts have no spans.
+    points.  Null and empty texts have no spans.  Further columns are ignored, and
+    repeated rows are judged each by itself.
     """
     keep = keep or ["doc_id"]
 
