@@ -204,7 +204,7 @@ def stats_bool_histogram(spark, sf_dir):
 
 
 def stats_reduction_factor(spark, sf_dir):
-    stats = open_tables(spark, sf_dir, "part").stats("part")
+    stats = open_tables(spark, sf_dir, "part").stats("part", ["p_size"])
     column = stats.schema.index("p_size")
     ops = (PredicateOperator.EQUALS, PredicateOperator.LESS_THAN, PredicateOperator.GREATER_THAN)
     return spark.createDataFrame([tuple(round(stats.reduction_factor(column, op, 30), 6) for op in ops)], "rf_eq double, rf_lt30 double, rf_gt30 double")

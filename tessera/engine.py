@@ -318,8 +318,9 @@ class Transaction:
         schema = self.schema(table)
         return Schema([f"{table}.{n}" for n in schema.names], schema.types)
 
-    def stats(self, table: str) -> TableStats:
-        return self._table(table).stats()
+    def stats(self, table: str, columns: Sequence[str] | None = None) -> TableStats:
+        """Statistics with the histograms of the given columns, or of all."""
+        return self._table(table).stats(columns)
 
     def column_summary(self, table: str, column: str) -> DataFrame:
         """One row: records, distinct values, least and greatest value of a column."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,38 +48,58 @@ class TableStats:
         return TableStats(Schema(names, [*self.schema.types, *other.schema.types]), tuple(joined), int(F32(rows) * factor))
 
 
-def measure(df: DataFrame, schema: Schema, known: dict[str, Histogram] | None = None, columns: Iterable[str] | None = None) -> TableStats:
+@dataclass
+class Measured:
+    """What is known of a table's present rows: histograms, and for some columns only the distinct values."""
+
+    histograms: dict[str, Histogram] = field(default_factory=dict)
+    distinct: dict[str, int] = field(default_factory=dict)
+    records: int | None = None
+
+
+def measure(df: DataFrame, schema: Schema, known: Measured | None = None, columns: Iterable[str] | None = None, keys: Iterable[str] = (), exact: bool = True) -> TableStats:
     """Statistics of a table, read from the given columns only (all if None).
 
-    Three aggregations, whatever the number of columns: ranges, bucket counts,
-    distinct values.  ``known`` holds histograms by column that are measured
-    already, and gets the new ones; columns that are neither stay empty.
+    ``columns`` get histograms, ``keys`` only the number of distinct values.  One
+    aggregation finds records, distinct values, the buckets of strings and
+    truth values and the ranges of numbers; a second one, if there are numbers,
+    their buckets.  ``known`` keeps what is measured; the rest stays empty.
+    ``exact`` False estimates distinct values, which only steer plan choice.
     """
-    known = {} if known is None else known
-    wanted = [c for c in (schema.names if columns is None else dict.fromkeys(columns)) if c not in known]
-    kinds = {c: schema.types[schema.index(c)] for c in wanted}
-    ranges = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(wanted):
-        if kinds[c].numeric:
-            ranges += [F.min(scaled(F.col(c), kinds[c])).alias(f"min{i}"), F.max(scaled(F.col(c), kinds[c])).alias(f"max{i}")]
-    seen = df.agg(*ranges).first()
-    n = seen["n"]
-    if n and wanted:
-        halves = {c: doubled_range(seen[f"min{i}"], seen[f"max{i}"]) for i, c in enumerate(wanted) if kinds[c].numeric}
-        counts = []
-        for i, c in enumerate(wanted):
-            bucket, size = _bucket(c, kinds[c], halves.get(c))
-            counts += [F.count_if(bucket == b).alias(f"c{i}_{b}") for b in range(size)]
-        found = df.agg(*counts).first() if counts else None
-        exact = n <= EXACT_DISTINCT_ROWS
-        values = [F.lower(c) if kinds[c].family == "STRING" else F.col(c) for c in wanted]
-        distinct = df.agg(*[F.count_distinct(v) if exact else F.approx_count_distinct(v, 0.01) for v in values]).first()
-        for i, c in enumerate(wanted):
-            size = _bucket(c, kinds[c], halves.get(c))[1]
-            own = tuple(found[f"c{i}_{b}"] for b in range(size)) if size else empty_histogram(kinds[c]).counts
-            histogram = replace(empty_histogram(kinds[c]), counts=own, distinct=distinct[i])
-            known[c] = replace(histogram, half=halves[c]) if c in halves else histogram
-    return TableStats(schema, tuple(known.get(c) or empty_histogram(t) for c, t in zip(schema.names, schema.types)), n)
+    known = Measured() if known is None else known
+    full = [c for c in (schema.names if columns is None else dict.fromkeys(columns)) if c not in known.histograms]
+    counted = [c for c in dict.fromkeys([*full, *keys]) if c not in known.distinct and c not in known.histograms]
+    kinds = {c: schema.types[schema.index(c)] for c in [*full, *counted]}
+    if known.records is None or full or counted:
+        wanted = {"n": F.count(F.lit(1))}
+        for c in counted:
+            value = F.lower(c) if kinds[c].family == "STRING" else F.col(c)
+            wanted[f"d_{c}"] = F.count_distinct(value) if exact else F.approx_count_distinct(value, 0.01)
+        for c in full:
+            if kinds[c].numeric:
+                wanted |= {f"l_{c}": F.min(scaled(F.col(c), kinds[c])), f"h_{c}": F.max(scaled(F.col(c), kinds[c]))}
+            else:
+                wanted |= _bucket_counts(c, kinds[c], None)
+        seen = df.agg(*[x.alias(k) for k, x in wanted.items()]).first()
+        known.records = seen["n"]
+        known.distinct |= {c: seen[f"d_{c}"] for c in counted}
+        numbers = [c for c in full if kinds[c].numeric] if seen["n"] else []
+        halves = {c: doubled_range(seen[f"l_{c}"], seen[f"h_{c}"]) for c in numbers}
+        second = {k: x for c in numbers for k, x in _bucket_counts(c, kinds[c], halves[c]).items()}
+        also = df.agg(*[x.alias(k) for k, x in second.items()]).first() if second else None
+        for c in full if seen["n"] else ():
+            source = also if c in halves else seen
+            counts = tuple(source[k] for k in _bucket_counts(c, kinds[c], halves.get(c))) or empty_histogram(kinds[c]).counts
+            histogram = replace(empty_histogram(kinds[c]), counts=counts, distinct=known.distinct[c])
+            known.histograms[c] = replace(histogram, half=halves[c]) if c in halves else histogram
+    found = [known.histograms.get(c) or replace(empty_histogram(t), distinct=known.distinct.get(c, 0)) for c, t in zip(schema.names, schema.types)]
+    return TableStats(schema, tuple(found), known.records)
+
+
+def _bucket_counts(name: str, kind: ColumnType, half: int | None) -> dict[str, Column]:
+    """The count of each bucket of a column; none for types without buckets."""
+    bucket, size = _bucket(name, kind, half)
+    return {f"b{b}_{name}": F.count_if(bucket == b) for b in range(size)}
 
 
 def _bucket(name: str, kind: ColumnType, half: int | None) -> tuple[Column | None, int]:
@@ -92,6 +112,3 @@ def _bucket(name: str, kind: ColumnType, half: int | None) -> tuple[Column | Non
         return BoolHistogram.bucket(F.col(name)), 2
     return None, 0
 
-
-#: Up to so many rows distinct values are counted exactly; the counts only steer plan choice.
-EXACT_DISTINCT_ROWS = 5_000_000

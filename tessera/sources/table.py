@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DatabaseError
-from ..functions.histograms import Histogram
 from ..functions.numbering import number_rows
-from ..functions.stats import TableStats, measure
+from ..functions.stats import Measured, TableStats, measure
 from ..schema import RID, RecordID, Schema
 from .files import Files
 
 #: With more segments than this, an insert first rewrites them as one.
 MAX_SEGMENTS = 32
+#: Distinct values of larger tables are estimated.
+EXACT_BYTES = 1 << 30
 
 
 class ExternalTable:
@@ -39,7 +40,7 @@ class ExternalTable:
         self.schema = Schema.of_spark(frame.select(*[c for c in frame.columns if c != RID]).schema, sizes)
         self.indices: list[str] = []
         self._frame, self._size = frame, None
-        self._histograms: dict[str, Histogram] = {}
+        self._measured = Measured()
         for column in self.key:
             self.schema.index(column)
 
@@ -66,9 +67,9 @@ class ExternalTable:
     def last_rid(self) -> int:
         return self.num_records() - 1
 
-    def stats(self, columns: Iterable[str] | None = None) -> TableStats:
-        """Statistics with the histograms of the given columns, or of all."""
-        return measure(self._frame, self.schema, self._histograms, columns)
+    def stats(self, columns: Iterable[str] | None = None, keys: Iterable[str] = ()) -> TableStats:
+        """Statistics with the histograms of the given columns, or of all, and the distinct values of keys."""
+        return measure(self._frame, self.schema, self._measured, columns, keys, (self.size_bytes() or 0) <= EXACT_BYTES)
 
 
 class StoredTable:
@@ -80,7 +81,7 @@ class StoredTable:
     def __init__(self, spark: SparkSession, root: str, name: str, schema: Schema, indices: Sequence[str] = (), segments: list[dict] | None = None):
         self.spark, self.root, self.name, self.schema = spark, root, name, schema
         self.indices, self.segments = list(indices), list(segments or [])
-        self._histograms: dict[str, Histogram] = {}  # of the present rows
+        self._measured = Measured()
         self._files = Files(spark)
         self._old: list[str] = []
 
@@ -113,9 +114,9 @@ class StoredTable:
     def last_rid(self) -> int:
         return max((s["last"] for s in self.segments), default=-1)
 
-    def stats(self, columns: Iterable[str] | None = None) -> TableStats:
-        """Statistics with the histograms of the given columns, or of all."""
-        return measure(self.numbered(), self.schema, self._histograms, columns)
+    def stats(self, columns: Iterable[str] | None = None, keys: Iterable[str] = ()) -> TableStats:
+        """Statistics with the histograms of the given columns, or of all, and the distinct values of keys."""
+        return measure(self.numbered(), self.schema, self._measured, columns, keys, self.size_bytes() <= EXACT_BYTES)
 
     # Writing; each returns with the new list in place, to be saved by the catalog
 
@@ -131,7 +132,7 @@ class StoredTable:
     def _become(self, segments: list[dict]) -> None:
         kept = {s["path"] for s in segments}
         self._old += [s["path"] for s in self.segments if s["path"] not in kept]
-        self.segments, self._histograms = segments, {}
+        self.segments, self._measured = segments, Measured()
 
     def discard_old(self) -> None:
         """Delete segments that the saved state no longer names."""
