@@ -31,16 +31,17 @@ def _oriented(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).filter("src <> dst").distinct()
 
 
-def connected_components(edges: DataFrame, left: str = "src", right: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, left: str = "src", right: str = "dst", max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """Map vertices of an undirected edge table to the least vertex they reach.
 
     Returns ``node, component`` for every vertex that has an edge and is not
     itself the least of its component; all other vertices are their own
     component.  Edges with a null end are ignored; repeated edges and loops are
-    harmless; an empty edge table gives an empty result.
+    harmless; an empty edge table gives an empty result.  ``rows`` may bound the
+    number of edges.
     """
     edges = edges.select(F.col(left).cast("long").alias("src"), F.col(right).cast("long").alias("dst")).filter("src is not null and dst is not null")
-    current = materialize(_oriented(edges), "edges")
+    current = materialize(_oriented(edges), "edges", rows)
     before = _checksum(current)
     for _ in range(max_rounds):
         if before[0] == 0:
