@@ -66,7 +66,7 @@ def test_filtered_counts():
 
 def test_measure(spark):
     schema = Schema(["i", "b", "s", "f"], [INT, BOOL, STRING(5), FLOAT])
-    rows = [(i, i < 50, "cs186" if i else "-", i / 100) for i in range(100)]
+    rows = [(i, i < 50, "cabin" if i else "-", i / 100) for i in range(100)]
     stats = measure(rows_frame(spark, rows, schema), schema)
     assert stats.num_records == 100 and stats.num_pages == 1
     i, b, s, f = stats.histograms
