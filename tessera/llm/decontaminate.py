@@ -70,8 +70,14 @@ def _words(text: str) -> np.ndarray:
     return words_of(data, np.array([0, len(data)]))[0]
 
 
-def grams(words: np.ndarray) -> np.ndarray:
-    return np.unique(tk.shingle_hashes(words, np.array([0, len(words)]), GRAM)[0])
+def grams(words: np.ndarray, width: int = GRAM) -> np.ndarray:
+    return np.unique(tk.shingle_hashes(words, np.array([0, len(words)]), width)[0])
+
+
+def part_grams(text: str) -> tuple[np.ndarray, int]:
+    """n-grams of a question or an answer and their width; a part of fewer than ``GRAM`` words is one n-gram."""
+    words = _words(text)
+    return grams(words), min(len(words), GRAM)
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -98,8 +104,8 @@ class ItemIndex:
         self.questions, self.answers, chunks, owner = [], [], [], []
         for k, (_, text) in enumerate(items):
             question, answer = split_item(text)
-            self.questions.append(grams(_words(question)))
-            self.answers.append(grams(_words(answer)))
+            self.questions.append(part_grams(question))
+            self.answers.append(part_grams(answer))
             words = _words(text)
             for a in range(0, len(words), CHUNK):
                 part = words[a : a + CHUNK]
@@ -195,9 +201,15 @@ class ItemIndex:
 
     def verified(self, words: np.ndarray, hits: list[tuple[int, float]], overlap: float = OVERLAP) -> list[tuple[int | None, float, float, float]]:
         """(item id, score, share of question, share of answer) of the items whose both parts the words hold."""
-        own, out = grams(words), []
+        own, out = {GRAM: grams(words)}, []
+
+        def share(part: np.ndarray, width: int) -> float:
+            if width not in own:
+                own[width] = grams(words, width)
+            return float(np.isin(part, own[width], assume_unique=True).mean()) if len(part) else 0.0
+
         for k, score in hits:
-            shares = [float(np.isin(g, own, assume_unique=True).mean()) if len(g) else 0.0 for g in (self.questions[k], self.answers[k])]
+            shares = [share(*part) for part in (self.questions[k], self.answers[k])]
             if min(shares) >= overlap:
                 out.append((self.ids[k], score, *shares))
         return out
@@ -217,8 +229,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None =
     columns named in ``keep`` and ``matches``, an array of ``item_id, score,
     question_overlap, answer_overlap`` by item, one row per input row; the
     array is empty for clean documents, null and empty texts, and an empty
-    benchmark.  Items without words match nothing; repeated items count once; a
-    null item id stays null.  The index is broadcast in parts of at most
+    benchmark.  A question or answer of fewer than ``GRAM`` words counts where
+    all its words follow each other in the document.  Items without words match
+    nothing; repeated items count once; a null item id stays null.  The index is broadcast in parts of at most
     ``INDEX_BYTES`` of item text, each of which reads the documents' texts once.
     Further columns of either table are ignored.
     """

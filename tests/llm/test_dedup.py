@@ -281,3 +281,11 @@ def test_item_parts():
     assert decontaminate.split_item("Q one? Answer: it is two") == ("Q one? ", " it is two")
     assert decontaminate.split_item("who are you? i am the one")[1].strip() == "i am the one"
     assert decontaminate.split_item("single") == ("single", "single")
+
+
+def test_items_with_short_parts(spark):
+    items = ["What is the capital of France? Answer: Paris", "Largest planet? Answer: it is the planet Jupiter", "Name the two authors. A: no", "Who wrote the old book of fables?\nA: Jean Fontaine", "Nine lives"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, f"{prose(80, i)} {t} {prose(30, i + 9)}") for i, t in enumerate(items)] + [(10, items[0].replace("Paris", "Lyon")), (11, "nine old lives"), (12, "Paris"), (13, "Jean, Who wrote the old book of fables? Fontaine")]
+    found = decontaminate.find_matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {r["doc_id"]: [m["item_id"] for m in r["matches"]] for r in found} == {i: [i] for i in range(5)} | {10: [], 11: [], 12: [], 13: []}
