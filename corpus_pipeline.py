@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import curriculum_mix, decontaminate, jaccard_join, language_id, minimax_shards
@@ -19,6 +19,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHARDS = 16
 
 
+def row_key() -> Column:
+    """64-bit hash of a whole row; rows that share it are equal in all columns."""
+    return F.xxhash64(*[x for c in COLUMNS for x in (F.col(c), F.col(c).isNull())]).alias("_t_row")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language cannot be told: null texts and texts without a letter."""
     model = language_id.train(docs.filter(~language_id.held_out()))
@@ -43,11 +48,14 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the mix does not take and repeats those it takes again."""
-    taken = curriculum_mix.mix_sources(docs).filter("taken > 0").select("doc_id", F.size("positions").alias("_t_times"))
-    times = taken.groupBy("doc_id").agg(F.max("_t_times").alias("_t_times"))
-    mixed = docs.select(*COLUMNS).join(times, "doc_id").withColumn("_t_copy", F.explode(F.sequence(F.lit(1), "_t_times")))
-    return mixed.select(*COLUMNS)
+    """Drops documents that the mix does not take and repeats those it takes again,
+    row by row: ids may be null or repeated."""
+    keyed = docs.select(*COLUMNS, row_key())
+    taken = curriculum_mix.mix_sources(keyed, keep=["_t_row"]).groupBy("_t_row").agg(F.sum(F.size("positions")).alias("_t_times"), F.count("*").alias("_t_rows"))
+    joined = keyed.join(taken.filter("_t_times > 0"), "_t_row")
+    once = joined.filter("_t_rows > 1").dropDuplicates(["_t_row"])  # equal rows: one stands for all their times
+    mixed = joined.filter("_t_rows = 1").unionByName(once)
+    return mixed.withColumn("_t_copy", F.explode(F.sequence(F.lit(1), F.col("_t_times").cast("int")))).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,11 +75,13 @@ def mix_sources(
     ratio: float = 1.5,
     max_repeats: int = 2,
     schedules: Sequence[tuple[float, float]] = DEFAULT_SCHEDULES,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Decide how many words of each document the mix takes, and when.
 
     ``docs`` has ``doc_id, text, source``.  Returns ``doc_id, source, size,
-    source_size, target, taken, positions``, one row per input row.  Documents
+    source_size, target, taken, positions`` and the columns named in ``keep``
+    (which also order rows of equal id and size), one row per input row.  Documents
     of a source are read in the order of a hash of their id, again from the
     start where the target exceeds the source; the document at which the target
     is reached is taken in part, so that the words taken differ from the target
@@ -92,7 +94,7 @@ def mix_sources(
     text = F.col("text").cast("string")
     order = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
     skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), skey.alias("skey"), word_count(text).alias("size"), order.alias("turn"))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), skey.alias("skey"), word_count(text).alias("size"), order.alias("turn"), *keep)
     sized = materialize(sized.withColumn("bucket", F.substring("turn", 1, BUCKET_DIGITS)), "sizes")
 
     sources = source_targets(sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size")), weights, ratio, max_repeats, schedules)
@@ -100,7 +102,7 @@ def mix_sources(
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("offset", F.coalesce(F.sum("part").over(before), F.lit(0))).join(sources, "skey")
 
-    within = Window.partitionBy("skey", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("skey", "bucket").orderBy("turn", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets.drop("part"), ["skey", "bucket"])
     start = F.col("offset") + F.col("ahead")
     goal = F.floor("target")
@@ -110,7 +112,7 @@ def mix_sources(
     time = lambda s: _time_of(F.least(s / F.col("target"), F.lit(1.0)), F.col("tilt"))
     moment = lambda t: F.col("demand") * t + F.col("drift") * (t - t * t)
     positions = F.transform(F.filter("starts", lambda s: s.isNotNull()), lambda s: moment(time(s)))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", positions.alias("positions"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", positions.alias("positions"), *keep)
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:

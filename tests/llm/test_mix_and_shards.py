@@ -8,6 +8,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -206,3 +207,24 @@ def test_pipeline_of_odd_rows(spark, odd, none):
     check_pipeline(tables, bench)
     assert stages(spark, odd)[-1].count() > 0
     assert [t.count() for t in stages(spark, none)] == [0] * 6
+
+
+def test_pipeline_of_rows_without_ids(spark, odd):
+    bench = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    tables = stages(spark, odd)
+    check_pipeline(tables, bench)
+    assert tables[3].filter("doc_id is null").count() > 0
+
+
+def test_mix_of_rows_with_null_and_repeated_ids(spark):
+    rows = [(None if i % 3 == 0 else i // 6, f"text {i} " * (i % 4 + 1), "en" if i % 2 else None, f"s{i % 2}", i) for i in range(60)] + [(None, "twice the same", "en", "s0", 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).cache()
+    got = defaultdict(int)
+    for r in corpus_pipeline.mix_to_targets(spark, docs, SF).collect():
+        got[tuple(r)] += 1
+    want = defaultdict(int)
+    keyed = docs.withColumn("whole", F.struct(*corpus_pipeline.COLUMNS)).withColumn("_t_row", corpus_pipeline.row_key())
+    for r in curriculum_mix.mix_sources(keyed, keep=["_t_row", "whole"]).collect():
+        want[tuple(r["whole"])] += len(r["positions"])
+    assert got == {k: n for k, n in want.items() if n}
+    assert any(k[0] is None for k in got)
