@@ -32,13 +32,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one of the smallest id stays.  Of rows
-    that repeat an id one stays; rows with null ids and null classes stay."""
-    classes = jaccard_join.jaccard_classes(docs).filter("doc_id is not null")
-    flags = classes.groupBy("doc_id").agg(F.max(F.col("component_id") < F.col("doc_id")).alias("_t_gone"), F.count("*").alias("_t_rows"))
-    joined = docs.select(*COLUMNS).join(flags.filter("_t_gone or _t_rows > 1"), "doc_id", "left").filter("_t_gone is null or not _t_gone")
-    once = joined.filter("_t_rows > 1").dropDuplicates(["doc_id"])
-    return joined.filter("_t_rows is null").unionByName(once).select(*COLUMNS)
+    """Of each class of linked documents one row stays, that of the smallest id (null
+    ids come last).  Rows are told apart by content, so that ids may be null or
+    repeated; texts without words link with nothing, and all their rows stay."""
+    keyed = docs.select(*COLUMNS, row_key())
+    classes = jaccard_join.jaccard_classes(keyed.select(F.col("_t_row").alias("doc_id"), "text")).filter("n_shingles > 0")
+    members = classes.groupBy(F.col("doc_id").alias("_t_row")).agg(F.first("component_id").alias("_t_class"), F.count("*").alias("_t_rows"))
+    ids = keyed.select("_t_row", "doc_id").distinct()
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_t_row")
+    least = members.join(ids, "_t_row").groupBy("_t_class").agg(F.min_by("_t_row", rank).alias("_t_least"), F.sum("_t_rows").alias("_t_size")).filter("_t_size > 1")
+    flags = members.join(least, "_t_class").select("_t_row", (F.col("_t_row") == F.col("_t_least")).alias("_t_stays"), "_t_rows")
+    joined = keyed.join(flags.filter("not _t_stays or _t_rows > 1"), "_t_row", "left").filter("_t_stays is null or _t_stays")
+    once = joined.filter("_t_stays").dropDuplicates(["_t_row"])
+    return joined.filter("_t_stays is null").unionByName(once).select(*COLUMNS)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

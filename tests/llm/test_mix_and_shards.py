@@ -16,6 +16,7 @@ from tessera.llm import curriculum_mix, minimax_shards, queries
 from tests.conftest import SF
 from tests.test_catalogue import TABLES, sorted_rows
 
+from .conftest import prose
 from .test_dedup import shingles
 
 
@@ -228,3 +229,13 @@ def test_mix_of_rows_with_null_and_repeated_ids(spark):
         want[tuple(r["whole"])] += len(r["positions"])
     assert got == {k: n for k, n in want.items() if n}
     assert any(k[0] is None for k in got)
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    a, b, c, d = (prose(60, 70 + i) for i in range(4))
+    rows = [(1, a), (7, a + " end"), (7, b), (7, c), (None, b + " end"), (None, d), (None, d + " end"), (None, d), (9, c), (9, c), (None, "..."), (None, "...")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(g for g in got if g[0]) == sorted([(1, a), (7, b), (7, c)])
+    assert [t for i, t in got if i is None and t == "..."] == ["..."] and [t for i, t in got if i is None and t in (d, d + " end")]
+    assert len(got) == 5
