@@ -25,8 +25,11 @@ def row_key() -> Column:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told: null texts and texts without a letter."""
+    """Drops documents whose language cannot be told: null texts and texts without a
+    letter.  The same ones go if there are no labelled rows to learn a language from."""
     model = language_id.train(docs.filter(~language_id.held_out()))
+    if not model.languages:
+        return docs.select(*COLUMNS).filter(F.col("text").cast("string").rlike(r"\p{L}"))
     judged = language_id.identify(docs.select(*COLUMNS), model, keep=COLUMNS)
     return judged.filter("lang_pred <> 'und'").select(*COLUMNS)
 

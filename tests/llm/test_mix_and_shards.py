@@ -239,3 +239,10 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     assert sorted(g for g in got if g[0]) == sorted([(1, a), (7, b), (7, c)])
     assert [t for i, t in got if i is None and t == "..."] == ["..."] and [t for i, t in got if i is None and t in (d, d + " end")]
     assert len(got) == 5
+
+
+def test_documents_with_letters_stay_without_labels(spark, odd):
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    known = corpus_pipeline.identify_language(spark, unlabelled, SF)
+    want = [r["text"] for r in odd.collect() if any(c.isalpha() for c in r["text"] or "")]
+    assert sorted(r["text"] for r in known.collect()) == sorted(want) and known.columns == corpus_pipeline.COLUMNS
