@@ -12,7 +12,7 @@ one) is a query, and all chunks at or above the threshold are retrieved:
 
 Pruning uses upper bounds only: the result equals that of scoring everything.
 Retrieved items count when n-grams of both their question and their answer are
-found in the document.
+found in the document, or a short part of the two with few words edited.
 """
 
 from __future__ import annotations
@@ -35,6 +35,9 @@ SCORE = 0.6
 #: Share of the question's and of the answer's n-grams that the document must hold.
 OVERLAP = 0.5
 GRAM = 3
+#: Parts of at most ``SHORT`` words may instead be held with one edit in ``EDIT_EVERY``
+#: words; parts of fewer words, but ``GRAM``, with one edit if n-grams show the other part.
+SHORT, EDIT_EVERY = 24, 5
 #: Words that an answer takes from the end of an item at least.
 ANSWER_WORDS = 5
 #: Chunks of an index block.
@@ -74,10 +77,21 @@ def grams(words: np.ndarray, width: int = GRAM) -> np.ndarray:
     return np.unique(tk.shingle_hashes(words, np.array([0, len(words)]), width)[0])
 
 
-def part_grams(text: str) -> tuple[np.ndarray, int]:
-    """n-grams of a question or an answer and their width; a part of fewer than ``GRAM`` words is one n-gram."""
+def part_grams(text: str) -> tuple[np.ndarray, int, np.ndarray]:
+    """n-grams of a question or an answer, their width and its words; a part of fewer than ``GRAM`` words is one n-gram."""
     words = _words(text)
-    return grams(words), min(len(words), GRAM)
+    return grams(words), min(len(words), GRAM), words
+
+
+def least_edits(part: np.ndarray, words: np.ndarray) -> int:
+    """Least number of words to replace, insert or leave out so that ``part`` is a run of ``words``."""
+    at = np.arange(len(words) + 1)
+    row = np.zeros(len(words) + 1, np.int64)
+    for i, word in enumerate(part, 1):
+        new = np.full(len(row), i)
+        new[1:] = np.minimum(row[:-1] + (words != word), row[1:] + 1)
+        row = np.minimum.accumulate(new - at) + at
+    return int(row.min())
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -209,7 +223,15 @@ class ItemIndex:
             return float(np.isin(part, own[width], assume_unique=True).mean()) if len(part) else 0.0
 
         for k, score in hits:
-            shares = [share(*part) for part in (self.questions[k], self.answers[k])]
+            parts = (self.questions[k], self.answers[k])
+            held = [share(*part[:2]) for part in parts]
+            shares = list(held)
+            for i, (_, _, sequence) in enumerate(parts):
+                n = len(sequence)
+                if held[i] < overlap and n <= SHORT and (n >= EDIT_EVERY or n >= GRAM and held[1 - i] >= overlap):
+                    edits = least_edits(sequence, words)
+                    if edits <= max(1, n // EDIT_EVERY):
+                        shares[i] = max(held[i], 1 - edits / n)
             if min(shares) >= overlap:
                 out.append((self.ids[k], score, *shares))
         return out
@@ -230,7 +252,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None =
     question_overlap, answer_overlap`` by item, one row per input row; the
     array is empty for clean documents, null and empty texts, and an empty
     benchmark.  A question or answer of fewer than ``GRAM`` words counts where
-    all its words follow each other in the document.  Items without words match
+    all its words follow each other in the document, one of at most ``SHORT`` words
+    also with an edit of one word in ``EDIT_EVERY``.  Items without words match
     nothing; repeated items count once; a null item id stays null.  The index is broadcast in parts of at most
     ``INDEX_BYTES`` of item text, each of which reads the documents' texts once.
     Further columns of either table are ignored.

@@ -289,3 +289,19 @@ def test_items_with_short_parts(spark):
     rows = [(i, f"{prose(80, i)} {t} {prose(30, i + 9)}") for i, t in enumerate(items)] + [(10, items[0].replace("Paris", "Lyon")), (11, "nine old lives"), (12, "Paris"), (13, "Jean, Who wrote the old book of fables? Fontaine")]
     found = decontaminate.find_matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert {r["doc_id"]: [m["item_id"] for m in r["matches"]] for r in found} == {i: [i] for i in range(5)} | {10: [], 11: [], 12: [], 13: []}
+
+
+def test_copies_with_one_word_changed(spark):
+    items = [r["text"] for r in spark.read.parquet(f"{SF.replace('0.001', '0.1')}/benchmark.parquet").collect() if r["text"]]
+    index = decontaminate.ItemIndex(list(enumerate(items)))
+    around = decontaminate._words(prose(200, 5))
+    for k, text in enumerate(items):
+        words = decontaminate._words(text)
+        short = [p for p in (index.questions[k], index.answers[k]) if len(p[2]) < decontaminate.GRAM]
+        for at in range(0 if short else len(words)):
+            changed = words.copy()
+            changed[at] = 12345
+            doc = np.concatenate((around[:90], changed, around[90:]))
+            hits = [(i, s) for _, i, s in index.retrieve(doc, np.array([0, len(doc)]))]
+            assert k in [m[0] for m in index.verified(doc, hits)], (text, at)
+    assert decontaminate.least_edits(np.array([1, 2, 3]), np.array([9, 1, 3, 4])) == 1 and decontaminate.least_edits(np.array([1, 2]), np.array([7, 8])) == 2
