@@ -11,7 +11,9 @@ one) is a query, and all chunks at or above the threshold are retrieved:
   maxima and the largest non-essential rest stay below the threshold.
 
 Pruning uses upper bounds only: the result equals that of scoring everything.
-Retrieved items count when n-grams of both their question and their answer are
+Items whose parts lie apart reach no threshold in one window.  They are opened by
+the rarest n-grams of their longer part: so many that no document that holds half
+of the part's n-grams can lack all of them.  Opened and retrieved items count when n-grams of both their question and their answer are
 found in the document, or a short part of the two with few words edited.
 """
 
@@ -110,6 +112,12 @@ def split_item(text: str) -> tuple[str, str]:
     return text, text
 
 
+def chunks_of(words: np.ndarray) -> list[np.ndarray]:
+    """Runs of ``CHUNK`` words; a short tail is filled up with the words before it."""
+    starts = range(0, len(words), CHUNK)
+    return [words[max(0, len(words) - CHUNK) if a and len(words) - a < CHUNK // 4 else a :][:CHUNK] for a in starts]
+
+
 class ItemIndex:
     """Inverted index over chunks of test items."""
 
@@ -121,10 +129,7 @@ class ItemIndex:
             self.questions.append(part_grams(question))
             self.answers.append(part_grams(answer))
             words = _words(text)
-            for a in range(0, len(words), CHUNK):
-                part = words[a : a + CHUNK]
-                if a and len(part) < CHUNK // 4:
-                    continue  # a short tail adds nothing that the other chunks and the check do not cover
+            for part in chunks_of(words):
                 chunks.append(np.unique(part, return_counts=True))
                 owner.append(k)
         self.owner = np.array(owner, np.int64)
@@ -140,6 +145,8 @@ class ItemIndex:
         weight = weight / np.maximum(np.bincount(chunk, weight, self.size), 1e-12)[chunk] if self.size else weight
         order = np.lexsort((chunk, term))
         self.chunk, self.weight = chunk[order], weight[order]
+        self.by_chunk, self.chunk_start = np.argsort(self.chunk, kind="stable"), np.searchsorted(np.sort(self.chunk), np.arange(self.size + 1))
+        self.term = term[order]
         self.start = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
         self.most = np.maximum.reduceat(self.weight, self.start[:-1]) if len(self.terms) else np.zeros(0)
         # The most frequent terms are non-essential as long as no chunk's share of them exceeds REST.
@@ -160,6 +167,53 @@ class ItemIndex:
         self.block_start = np.searchsorted(head, self.start)
         self.blocks = -(-self.size // BLOCK)
         self.block_rest = np.maximum.reduceat(self.rest, np.arange(0, self.size, BLOCK)) if self.size else np.zeros(0)
+        self._index_openers()
+
+    def _index_openers(self) -> None:
+        """For each width the n-grams that open items: of the longer part so many of the
+        rarest that a document without any of them holds less than ``OVERLAP`` of the part."""
+        longer = [max(parts, key=lambda p: len(p[2])) for parts in zip(self.questions, self.answers)]
+        self.openers = {}
+        for width in sorted({w for _, w, _ in longer if w}):
+            own = [(k, g) for k, (g, w, _) in enumerate(longer) if w == width]
+            every, held = np.unique(np.concatenate([g for _, g in own]), return_counts=True)
+            picked = []
+            for k, g in own:
+                rare = g[np.argsort(held[np.searchsorted(every, g)], kind="stable")]
+                rare = rare[: len(g) - max(1, int(np.ceil(OVERLAP * len(g) - 1e-9))) + 1]
+                picked.append((rare, np.full(len(rare), k)))
+            h, item = (np.concatenate(x) for x in zip(*picked))
+            by = np.argsort(h, kind="stable")
+            hashes = np.unique(h)
+            self.openers[width] = hashes, np.searchsorted(h[by], hashes), np.searchsorted(h[by], hashes, "right"), item[by]
+
+    def candidates(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float | None]]:
+        """What :meth:`retrieve` finds, and without a score all others that can hold half of both parts."""
+        found: dict[tuple[int, int], float | None] = {}
+        for width, (hashes, low, high, items) in self.openers.items():
+            h, bounds = tk.shingle_hashes(words, first, width)
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            place = np.flatnonzero(hashes[at] == h)
+            source, posting = _expand(low[at[place]], high[at[place]])
+            row = np.searchsorted(bounds, place, "right") - 1
+            pairs = np.unique(row[source] * len(self.ids) + items[posting])
+            found |= dict.fromkeys(zip((pairs // len(self.ids)).tolist(), (pairs % len(self.ids)).tolist()))
+        found |= {(r, k): s for r, k, s in self.retrieve(words, first)}
+        return [(r, k, found[r, k]) for r, k in sorted(found)]
+
+    def best_score(self, words: np.ndarray, k: int) -> float:
+        """Best score of an item's chunks in any window."""
+        best = 0.0
+        for c in range(*np.searchsorted(self.owner, [k, k + 1])):
+            own = self.by_chunk[self.chunk_start[c] : self.chunk_start[c + 1]]  # by term
+            terms = self.terms[self.term[own]]
+            at = np.minimum(np.searchsorted(terms, words), len(terms) - 1)
+            place = np.flatnonzero(terms[at] == words)
+            held = np.zeros((-(-len(words) // STEP) + STEPS - 1, len(terms)), bool)
+            for later in range(STEPS):
+                held[place // STEP + later, at[place]] = True
+            best = max(best, float((held @ self.weight[own]).max()))
+        return best
 
     def retrieve(self, words: np.ndarray, first: np.ndarray, threshold: float = SCORE) -> list[tuple[int, int, float]]:
         """(row, item, best score of its chunks in any window) for all that reach the threshold."""
@@ -213,7 +267,7 @@ class ItemIndex:
             best[r, k] = max(best.get((r, k), 0.0), s)
         return [(r, k, s) for (r, k), s in sorted(best.items())]
 
-    def verified(self, words: np.ndarray, hits: list[tuple[int, float]], overlap: float = OVERLAP) -> list[tuple[int | None, float, float, float]]:
+    def verified(self, words: np.ndarray, hits: list[tuple[int, float | None]], overlap: float = OVERLAP) -> list[tuple[int | None, float, float, float]]:
         """(item id, score, share of question, share of answer) of the items whose both parts the words hold."""
         own, out = {GRAM: grams(words)}, []
 
@@ -233,7 +287,7 @@ class ItemIndex:
                     if edits <= max(1, n // EDIT_EVERY):
                         shares[i] = max(held[i], 1 - edits / n)
             if min(shares) >= overlap:
-                out.append((self.ids[k], score, *shares))
+                out.append((self.ids[k], self.best_score(words, k) if score is None else score, *shares))
         return out
 
 
@@ -280,8 +334,8 @@ def _scanner(index: dict, spark):
             matches = batch.column("matches").to_pylist()
             for i, _, data, offsets in tk.blocks(batch.column("_t_text")):
                 words, first = words_of(data, offsets)
-                hits: dict[int, list[tuple[int, float]]] = {}
-                for r, k, s in known.retrieve(words, first):
+                hits: dict[int, list[tuple[int, float | None]]] = {}
+                for r, k, s in known.candidates(words, first):
                     hits.setdefault(r, []).append((k, s))
                 for r, own in hits.items():
                     names = ("item_id", "score", "question_overlap", "answer_overlap")

@@ -305,3 +305,21 @@ def test_copies_with_one_word_changed(spark):
             hits = [(i, s) for _, i, s in index.retrieve(doc, np.array([0, len(doc)]))]
             assert k in [m[0] for m in index.verified(doc, hits)], (text, at)
     assert decontaminate.least_edits(np.array([1, 2, 3]), np.array([9, 1, 3, 4])) == 1 and decontaminate.least_edits(np.array([1, 2]), np.array([7, 8])) == 2
+
+
+def test_retrieval_finds_what_verification_accepts(spark):
+    own = lambda kind, i: " ".join(f"{kind}{i}x{j}" for j in range(20))
+    items = [(i, f"{own('q', i)}? Answer: {own('a', i)}") for i in range(15)] + [(15, "Tall tower? Answer: Eiffel")]
+    index = decontaminate.ItemIndex(items)
+    text = decontaminate._words(f"{own('q', 2)} {prose(150, 40)} {own('a', 2)}")
+    assert not index.retrieve(text, np.array([0, len(text)]))
+    assert all(set(decontaminate._words(t)) == set(np.concatenate(decontaminate.chunks_of(decontaminate._words(t)))) for _, t in items)
+    rows = [(i, f"{prose(30, i)} {t.split('? Answer: ')[0]} {prose(150, 40 + i)} {t.split('? Answer: ')[1]}") for i, t in items]
+    found = decontaminate.find_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    for r in found:
+        words = decontaminate._words(dict(rows)[r["doc_id"]])
+        every = {m[0]: m[1] for m in index.verified(words, [(k, None) for k in range(len(items))])}
+        assert r["doc_id"] in every and {m["item_id"]: m["score"] for m in r["matches"]} == pytest.approx(every)
+    text = decontaminate._words(rows[3][1])
+    for k, score in ((k, s) for _, k, s in index.retrieve(text, np.array([0, len(text)]), 0.3)):
+        assert index.best_score(text, k) == pytest.approx(score)
