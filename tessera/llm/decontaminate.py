@@ -20,7 +20,9 @@ found in the document, or a short part of the two with few words edited.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -118,10 +120,30 @@ def chunks_of(words: np.ndarray) -> list[np.ndarray]:
     return [words[max(0, len(words) - CHUNK) if a and len(words) - a < CHUNK // 4 else a :][:CHUNK] for a in starts]
 
 
+class ChunkTotals(NamedTuple):
+    """What weights need to know of all chunks: terms, chunks that hold each, number of chunks and of their words."""
+
+    terms: np.ndarray
+    counts: np.ndarray
+    size: int
+    words: int
+
+    @classmethod
+    def of(cls, texts: Iterable[str]) -> ChunkTotals:
+        chunks = [c for text in texts for c in chunks_of(_words(text))]
+        terms, counts = np.unique(np.concatenate([np.unique(c) for c in chunks] or [np.zeros(0, np.uint64)]), return_counts=True)
+        return cls(terms, counts, len(chunks), sum(map(len, chunks)))
+
+    def plus(self, other: ChunkTotals) -> ChunkTotals:
+        terms, at = np.unique(np.concatenate((self.terms, other.terms)), return_inverse=True)
+        counts = np.bincount(at, np.concatenate((self.counts, other.counts)), len(terms)).astype(np.int64)
+        return ChunkTotals(terms, counts, self.size + other.size, self.words + other.words)
+
+
 class ItemIndex:
     """Inverted index over chunks of test items."""
 
-    def __init__(self, items: list[tuple[int | None, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], totals: ChunkTotals | None = None):
         self.ids = [i for i, _ in items]
         self.questions, self.answers, chunks, owner = [], [], [], []
         for k, (_, text) in enumerate(items):
@@ -140,8 +162,11 @@ class ItemIndex:
         chunk = np.repeat(np.arange(self.size), [len(c[0]) for c in chunks]) if chunks else np.zeros(0, np.int64)
         tf = np.concatenate([c[1] for c in chunks]).astype(float) if chunks else np.zeros(0)
         df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (self.size - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[chunk] / max(lengths.mean(), 1.0))) if self.size else np.zeros(0)
+        if totals is None:
+            totals = ChunkTotals(self.terms, df, self.size, int(lengths.sum()))
+        spread = totals.counts[np.searchsorted(totals.terms, self.terms)]
+        idf = np.log(1 + (totals.size - spread + 0.5) / (spread + 0.5))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[chunk] / max(totals.words / totals.size, 1.0))) if self.size else np.zeros(0)
         weight = weight / np.maximum(np.bincount(chunk, weight, self.size), 1e-12)[chunk] if self.size else weight
         order = np.lexsort((chunk, term))
         self.chunk, self.weight = chunk[order], weight[order]
@@ -317,9 +342,11 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None =
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-2 * size // INDEX_BYTES)) if size > INDEX_BYTES else 1
     out = docs.select(*keep, F.col("text").cast("string").alias("_t_text"), F.array().cast(_MATCH).alias("matches"))
-    for number in range(passes):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number)
-        index = ItemIndex(sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=lambda r: (r[0] is None, r)))  # at most about INDEX_BYTES
+    parts = [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number) for number in range(passes)]
+    # Weights come from all items, so that scores do not depend on the number of passes.
+    totals = reduce(ChunkTotals.plus, (ChunkTotals.of(r["text"] for r in mine.select("text").collect()) for mine in parts)) if passes > 1 else None
+    for mine in parts:
+        index = ItemIndex(sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=lambda r: (r[0] is None, r)), totals)  # at most about INDEX_BYTES
         out = out.mapInArrow(_scanner(index.__dict__, docs.sparkSession), out.schema)
     return out.drop("_t_text")
 

@@ -323,3 +323,14 @@ def test_retrieval_finds_what_verification_accepts(spark):
     text = decontaminate._words(rows[3][1])
     for k, score in ((k, s) for _, k, s in index.retrieve(text, np.array([0, len(text)]), 0.3)):
         assert index.best_score(text, k) == pytest.approx(score)
+
+
+def test_scores_do_not_depend_on_the_passes(spark, monkeypatch):
+    items = [(i, prose(20 + i % 50, 300 + i)) for i in range(60)]
+    rng = random.Random(8)
+    rows = [(i, " ".join([prose(40, i), *[w for w in t.split() if rng.random() < 0.85], prose(40, 70 + i)])) for i, t in items]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    scores = lambda: {(r["doc_id"], m["item_id"]): m["score"] for r in decontaminate.find_matches(docs, bench).collect() for m in r["matches"]}
+    want = scores()
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 2000)
+    assert want and scores() == pytest.approx(want)
