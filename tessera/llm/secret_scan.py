@@ -29,9 +29,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.ASCII)
 HEX = re.compile(r"[0-9a-f]+", re.ASCII)
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 
-#: Names after which a value is weighed, wider than the base pattern's.
+#: Names after which a value is weighed, wider than the base pattern's.  A value in
+#: quotes reaches to the same quote on its line; any other ends at a mark or a space.
 CONTEXT = re.compile(
-    r"""(?i:(?<![a-z])(?:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|auth(?:orization)?))["']?[ \t]*(?:[:=]|=>|:=)[ \t]*["']?(?i:(?:bearer|basic)[ \t]+)?([^\s"'<>,;]{6,})""",
+    r"""(?i:(?<![a-z])(?:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|auth(?:orization)?))["']?[ \t]*(?:[:=]|=>|:=)[ \t]*(?:"(?i:(?:bearer|basic)[ \t]+)?([^"\r\n]{6,}+)"(?!\w)|'(?i:(?:bearer|basic)[ \t]+)?([^'\r\n]{6,}+)'(?!\w)|["']?(?i:(?:bearer|basic)[ \t]+)?([^\s"'<>,;]{6,}))""",
     re.ASCII,
 )
 #: Lower-case bytes of which a text with a credential context has one.
@@ -177,8 +178,8 @@ def guess_spans(text: str) -> list[tuple[int, int, int]]:
     out: list[tuple[int, int, int]] = []
     counts: Counter | None = None
     for m in CONTEXT.finditer(text):
-        start, end = m.span(1)
-        while end > start and text[end - 1] in ".!?)]}":
+        start, end = m.span(m.lastindex)
+        while m.lastindex == 3 and end > start and text[end - 1] in ".!?)]}":
             end -= 1
         if end - start < 6:
             continue

@@ -49,6 +49,14 @@ def test_guessed_secrets(spark):
     assert found[9] and found[10] and not found[11] and not found[1]
 
 
+def test_guessed_secrets_in_quotes():
+    for text, value in [
+        ('password="Xk9,$2mQ;vL7#pR4"', "Xk9,$2mQ;vL7#pR4"), ("x pwd: 'a<Zq7 vT2#\"k9!' y 'z'", 'a<Zq7 vT2#"k9!'), ('auth = "Bearer eyJh,bGci;OiJIUzI1"', "eyJh,bGci;OiJIUzI1"),
+        ('password="Xk9$2mQvL7#pR4w\n next"', "Xk9$2mQvL7#pR4w"), ("secret: 'xK9$mQ2!vL7#pR4& isn't", "xK9$mQ2!vL7#pR4&"), ('token="" other="a b c d e f"', None), ("password=Xk9,$2mQ;vL7#pR4", None),
+    ]:
+        assert [text[a:b] for a, _, b in secret_scan.guess_spans(text)] == ([value] if value else [])
+
+
 def test_guess_cost_is_the_least_over_segmentations():
     """Against all segmentations of short values, each segment priced by itself."""
 
