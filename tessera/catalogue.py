@@ -3,6 +3,7 @@ and the SQL that says the same."""
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -10,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Database, Transaction
+from .errors import DatabaseError, QueryPlanError
 from .functions.numbering import number_rows
 from .operators.joins import JoinAlgorithm
 from .operators.predicates import PredicateOperator
 from .schema import Schema
-from .sources.workspace import shared_root
-from .types import INT, STRING, VARCHAR
+from .sources.csv import read_csv
+from .sources.memory import rows_frame
+from .sources.workspace import work_folder
+from .types import BOOL, FLOAT, INT, STRING, VARCHAR
 
 #: Primary keys of the driver's tables: the order of insertion.
 KEYS = {
@@ -37,13 +41,18 @@ def open_tables(spark: SparkSession, sf_dir: str, *names: str) -> Transaction:
 
 def _stored(spark: SparkSession, sf_dir: str, name: str, schema: Schema) -> Transaction:
     """A transaction on a new stored table with the columns of a given one."""
-    database = Database(spark, f"{shared_root(spark)}/database-{uuid.uuid4().hex}")
+    database = _new_database(spark)
     database.create_table(schema, name)
     transaction = database.begin_transaction()
-    transaction.load(name, spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*schema.names), KEYS[name])
+    source = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    transaction.load(name, source.select(*[F.col(c).cast(t.spark).alias(c) for c, t in zip(schema.names, schema.types)]), KEYS[name])
     return transaction
 
 
+def _new_database(spark: SparkSession) -> Database:
+    return Database(spark, work_folder(spark, f"database-{uuid.uuid4().hex}"))
+
+
 def scan_seq(spark, sf_dir):
     return open_tables(spark, sf_dir, "nation").scan("nation")
 
@@ -166,7 +175,7 @@ def index_contains(spark, sf_dir):
 
 
 def _positions(df: DataFrame) -> DataFrame:
-    return number_rows(df.select("p_partkey", "p_size"), ["p_size", "p_partkey"], "pos", start=1).withColumn("pos", F.col("pos").cast("int"))
+    return number_rows(df.select("p_partkey", "p_size"), ["p_size", "p_partkey"], "pos", start=1)
 
 
 def index_sorted_scan(spark, sf_dir):
@@ -198,9 +207,13 @@ def stats_string_histogram(spark, sf_dir):
 
 
 def stats_bool_histogram(spark, sf_dir):
+    return _flags(spark, sf_dir).histogram("flags", "returned")
+
+
+def _flags(spark, sf_dir) -> Transaction:
     database = Database(spark)
     database.attach("flags", spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_returnflag") == "R").alias("returned")))
-    return database.begin_transaction().histogram("flags", "returned")
+    return database.begin_transaction()
 
 
 def stats_reduction_factor(spark, sf_dir):
@@ -210,6 +223,88 @@ def stats_reduction_factor(spark, sf_dir):
     return spark.createDataFrame([tuple(round(stats.reduction_factor(column, op, 30), 6) for op in ops)], "rf_eq double, rf_lt30 double, rf_gt30 double")
 
 
+def _factors(spark, stats, column: str, value: object) -> DataFrame:
+    """The reduction factor of each comparison with a constant."""
+    at = stats.schema.index(column)
+    return spark.createDataFrame([(op.value, round(stats.reduction_factor(at, op, value), 5)) for op in PredicateOperator], "op string, factor double")
+
+
+def stats_factors_int(spark, sf_dir):
+    return _factors(spark, open_tables(spark, sf_dir, "part").stats("part", ["p_size"]), "p_size", 30)
+
+
+def stats_factors_string(spark, sf_dir):
+    return _factors(spark, open_tables(spark, sf_dir, "part").stats("part", ["p_name"]), "p_name", "hot")
+
+
+def stats_factors_bool(spark, sf_dir):
+    return _factors(spark, _flags(spark, sf_dir).stats("flags"), "returned", True)
+
+
+def stats_int_range(spark, sf_dir):
+    """Entries in a range, and the least and greatest value, as the histogram tells them."""
+    histogram = _size_histogram(spark, sf_dir)
+    return spark.createDataFrame([(histogram.entries_in_range(13, 27), histogram.minimum, histogram.maximum)], "entries long, min_value int, max_value int")
+
+
+def _size_histogram(spark, sf_dir):
+    stats = open_tables(spark, sf_dir, "part").stats("part", ["p_size"])
+    return stats.histograms[stats.schema.index("p_size")]
+
+
+def _buckets(spark, histogram) -> DataFrame:
+    return spark.createDataFrame([(i, c, histogram.distinct) for i, c in enumerate(histogram.counts)], "bucket int, cnt long, distinct_values long")
+
+
+def stats_filtered(spark, sf_dir):
+    """The histogram that is estimated after ``p_size <= 27``."""
+    return _buckets(spark, _size_histogram(spark, sf_dir).filtered(PredicateOperator.LESS_THAN_EQUALS, 27))
+
+
+def stats_reduced(spark, sf_dir):
+    """The histogram that is estimated after a filter on another column."""
+    return _buckets(spark, _size_histogram(spark, sf_dir).reduced(0.3))
+
+
+def stats_joined(spark, sf_dir):
+    """Rows that are estimated for a join."""
+    transaction = open_tables(spark, sf_dir, "orders", "customer")
+    orders, customer = transaction.stats("orders", ["o_custkey"]), transaction.stats("customer", ["c_custkey"])
+    joined = orders.with_join(orders.schema.index("o_custkey"), customer, customer.schema.index("c_custkey"))
+    return spark.createDataFrame([(joined.num_records,)], "num_records long")
+
+
+def index_exists(spark, sf_dir):
+    transaction = open_tables(spark, sf_dir, "orders", "part")
+    transaction.query_as("part", "p")
+    asked = [("orders", "o_orderkey"), ("orders", "o_custkey"), ("part", "p_size"), ("p", "p.p_size"), ("p", "p_name")]
+    return spark.createDataFrame([(t, c, transaction.index_exists(t, c)) for t, c in asked], "table_name string, column_name string, found boolean")
+
+
+def index_pages(spark, sf_dir):
+    return spark.createDataFrame([(open_tables(spark, sf_dir, "part").num_index_pages("part", "p_size"),)], "num_pages int")
+
+
+def table_sizes(spark, sf_dir):
+    """What a transaction tells about a table."""
+    t = open_tables(spark, sf_dir, "orders")
+    row = (t.num_records("orders"), t.num_data_pages("orders"), t.num_entries_per_page("orders"), t.entry_size("orders"), t.page_header_size("orders"), t.num_memory_pages)
+    return spark.createDataFrame([row], "num_records long, num_data_pages long, num_entries int, entry_size int, header_size int, memory_pages int")
+
+
+def table_schema(spark, sf_dir):
+    schema = open_tables(spark, sf_dir, "nation").fully_qualified_schema("nation")
+    return spark.createDataFrame([(n, str(t)) for n, t in zip(schema.names, schema.types)], "column_name string, column_type string")
+
+
+def page_header(spark, sf_dir):
+    """Used slots of a page, from its bitmap, after a record in it was deleted."""
+    transaction = _stored(spark, sf_dir, "region", _REGION)
+    transaction.delete_record("region", _place(transaction, 2))
+    bits = "".join(f"{b:08b}" for b in transaction.read_page_header("region", 1))
+    return spark.createDataFrame([(i,) for i, bit in enumerate(bits) if bit == "1"], "slot int")
+
+
 def stats_num_pages(spark, sf_dir):
     return spark.createDataFrame([(open_tables(spark, sf_dir, "lineitem").num_data_pages("lineitem"),)], "num_pages int")
 
@@ -256,6 +351,118 @@ def temp_table(spark, sf_dir):
     return transaction.query("wanted").join("region", "key", "r_regionkey").project(["r_name"]).execute()
 
 
+def table_reopened(spark, sf_dir):
+    """A stored table, read by a database that was opened again on its folder."""
+    transaction = _stored(spark, sf_dir, "region", _REGION)
+    root = transaction._db.root
+    transaction.end()
+    transaction._db.close()
+    return Database(spark, root).begin_transaction().scan("region")
+
+
+def table_dropped(spark, sf_dir):
+    """Tables that are left after one of three was dropped, and whether each drop found its table."""
+    database = _new_database(spark)
+    for name in ("a", "b", "c"):
+        database.create_table_with_indices(Schema(["k"], [INT]), name, ["k"])
+    found = [database.delete_table(n) for n in ("b", "b")]
+    left = database.table_names
+    return spark.createDataFrame([(",".join(left), *found, database.delete_all_tables(), len(database.table_names))], "tables string, first_drop boolean, second_drop boolean, all_dropped boolean, n_left int")
+
+
+def record_fetched(spark, sf_dir):
+    transaction = _stored(spark, sf_dir, "region", _REGION)
+    return spark.createDataFrame([transaction.get_record("region", _place(transaction, 3))], "r_regionkey int, r_name string")
+
+
+def record_iterator(spark, sf_dir):
+    """Records in the order of an iterator over pages and slots."""
+    transaction = _stored(spark, sf_dir, "region", _REGION)
+    return spark.createDataFrame([(i, r["r_regionkey"], r["r_name"]) for i, r in enumerate(transaction.records("region"), 1)], "pos int, r_regionkey int, r_name string")
+
+
+_MIXED = Schema(["truth", "whole", "letters", "part"], [BOOL, INT, STRING(3), FLOAT])
+
+
+def rows_in_memory(spark, sf_dir):
+    """Rows given in a program: strings are cut or padded, floats single."""
+    return rows_frame(spark, [(True, 1, "a", 0.5), (False, -2, "abcd", 0.25)], _MIXED).select(*_MIXED.names)
+
+
+def csv_load(spark, sf_dir):
+    path = work_folder(spark, f"nation-{uuid.uuid4().hex}.csv")
+    spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.concat(F.lit(" "), "n_name").alias("n_name"), "n_regionkey").write.csv(path)
+    return read_csv(spark, path, Schema(["n_nationkey", "n_name", "n_regionkey"], [INT, STRING(12), INT]))
+
+
+def agg_sum_float(spark, sf_dir):
+    """The sum of a column in single precision."""
+    database = Database(spark)
+    database.attach("sizes", spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_size") * 0.25).cast("float").alias("quarter")))
+    return database.begin_transaction().query("sizes").sum("quarter").average("quarter").execute()
+
+
+def _refused(spark, build: Callable[[], object]) -> DataFrame:
+    try:
+        build()
+        name = None
+    except QueryPlanError as error:
+        name = type(error).__name__
+    return spark.createDataFrame([(name,)], "error string")
+
+
+def agg_type_check(spark, sf_dir):
+    """A sum over strings is refused."""
+    return _refused(spark, open_tables(spark, sf_dir, "part").query("part").sum("p_name").execute)
+
+
+def group_projection_check(spark, sf_dir):
+    """A query with groups projects only the group's column."""
+    return _refused(spark, open_tables(spark, sf_dir, "part").query("part").project(["p_size"]).group_by("p_brand").count().execute)
+
+
+def group_rows_projected(spark, sf_dir):
+    return open_tables(spark, sf_dir, "nation").query("nation").project(["n_regionkey"]).group_by("n_regionkey").execute()
+
+
+def transaction_states(spark, sf_dir):
+    """Whether a transaction is active before and after its end, and whether its temporary table and a waiting transaction are as they should be."""
+    database = _new_database(spark)
+    database.create_table(Schema(["k"], [INT]), "t")
+    first, second, entered = database.begin_transaction(), database.begin_transaction(), threading.Event()
+    first.create_temp_table(Schema(["k"], [INT]), "temp")
+    waiting = threading.Thread(target=lambda: (second.schema("t"), entered.set()))
+    waiting.start()
+    states = [first.is_active, entered.wait(0.2)]
+    first.end()
+    states += [first.is_active, entered.wait(10)]
+    try:
+        second.schema("temp")
+        states.append(True)
+    except DatabaseError:
+        states.append(False)
+    second.end()
+    return spark.createDataFrame([tuple(states)], "active boolean, second_at_once boolean, active_at_end boolean, second_later boolean, temp_left boolean")
+
+
+def plan_tree(spark, sf_dir):
+    """The estimated plan of a query, line by line."""
+    plan = open_tables(spark, sf_dir, "nation", "region").query("nation").join("region", "nation.n_regionkey", "region.r_regionkey").select("nation.n_nationkey", ">", 3).project(["nation.n_name"])
+    plan.execute_optimal()
+    return spark.createDataFrame(list(enumerate(plan.explain_tree().split("\n"), 1)), "line int, text string")
+
+
+def plan_costs(spark, sf_dir):
+    """Estimated cost of each join algorithm that the planner considers."""
+    transaction = open_tables(spark, sf_dir, "customer", "orders")
+    rows = []
+    for algorithm in (JoinAlgorithm.SNLJ, JoinAlgorithm.PNLJ, JoinAlgorithm.BNLJ, JoinAlgorithm.GHJ):
+        plan = transaction.query("customer").join("orders", "c_custkey", "o_custkey", algorithm)
+        plan.execute()
+        rows.append((algorithm.name, plan.final_operator.cost, plan.final_operator.stats.num_records))
+    return spark.createDataFrame(rows, "algorithm string, cost long, num_records long")
+
+
 def char_pad(spark, sf_dir):
     return _stored(spark, sf_dir, "nation", Schema(["n_nationkey", "n_name"], [INT, STRING(20)])).scan("nation")
 
@@ -265,7 +472,9 @@ _PLAIN = (
     agg_count, agg_sum_int, agg_sum_double, agg_avg, agg_all, agg_empty_zero_rows, agg_first_record, group_count_sum_avg, group_no_key_projected, group_rows_delimited,
     group_join_select, index_lookup_key, index_contains, index_sorted_scan, index_sorted_scan_from, index_scan_range, stats_columns, stats_int_histogram,
     stats_float_histogram, stats_string_histogram, stats_bool_histogram, stats_reduction_factor, stats_num_pages, record_ids, page_entries, dml_insert, dml_update,
-    dml_delete, temp_table, char_pad,
+    dml_delete, temp_table, char_pad, stats_factors_int, stats_factors_string, stats_factors_bool, stats_int_range, stats_filtered, stats_reduced, stats_joined, index_exists,
+    index_pages, table_sizes, table_schema, page_header, table_reopened, table_dropped, record_fetched, record_iterator, rows_in_memory, csv_load, agg_sum_float, agg_type_check,
+    group_projection_check, group_rows_projected, transaction_states, plan_tree, plan_costs,
 )
 
 
@@ -287,6 +496,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WIDTH = "WITH m AS (SELECT CASE WHEN MIN(p_size) >= -50 AND MAX(p_size) < 50 THEN 10 WHEN MIN(p_size) >= -100 AND MAX(p_size) < 100 THEN 20 ELSE 40 END AS w FROM part)"
 
 
+#: Counts, bounds and distinct values of the histogram of part.p_size.
+_BUCKETS = f"""{_WIDTH}, b AS (SELECT i AS bucket, (i - 5) * w AS lo, (i - 4) * w AS hi, w, (SELECT COUNT(*) FROM part WHERE p_size >= (i - 5) * w AND p_size < (i - 4) * w) AS cnt,
+  (SELECT COUNT(DISTINCT p_size) FROM part) AS ndv FROM m CROSS JOIN range(10) r(i)), e AS (SELECT MIN(lo) AS lo, MAX(hi) AS hi, MAX(ndv) AS ndv FROM b WHERE cnt > 0)"""
+#: First and last of the 36 buckets of part.p_name that have entries, and that of the constant "hot".
+_LETTERS = "WITH l AS (SELECT MIN(strpos('abcdefghijklmnopqrstuvwxyz0123456789', substr(lower(p_name), 1, 1))) AS lo, MAX(strpos('abcdefghijklmnopqrstuvwxyz0123456789', substr(lower(p_name), 1, 1))) AS hi, 8 AS v FROM part)"
+#: The lines of the plan of plan_tree.
+_TREE = (
+    "type: PROJECT", "columns: [nation.n_name]", "\ttype: BNLJ", "\tleftColumn: nation.n_regionkey", "\trightColumn: region.r_regionkey",
+    "\t\t(left)", "\t\ttype: SELECT", "\t\tcolumn: nation.n_nationkey", "\t\toperator: GREATER_THAN", "\t\tvalue: 3", "\t\t\ttype: SEQSCAN", "\t\t\ttable: nation",
+    "\t", "\t\t(right)", "\t\ttype: SEQSCAN", "\t\ttable: region",
+)
+_PAGES = "WITH c AS (SELECT COUNT(*) AS n, CAST(CEIL(COUNT(*) / 64.0) AS BIGINT) AS p, COUNT(DISTINCT c_custkey) AS ndv FROM customer), o AS (SELECT COUNT(*) AS n, CAST(CEIL(COUNT(*) / 80.0) AS BIGINT) AS p, COUNT(DISTINCT o_custkey) AS ndv FROM orders)"
+_PAGES += ", j AS (SELECT CAST(TRUNC(CAST(c.n * o.n AS FLOAT) * (CAST(1 AS FLOAT) / CAST(GREATEST(c.ndv, o.ndv) AS FLOAT))) AS BIGINT) AS num_records FROM c CROSS JOIN o)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "scan_seq": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
@@ -308,34 +532,59 @@ def oracle_sql() -> dict[str, str]:
         "join_multi_way": "SELECT c.c_name AS c_name, p.p_name AS p_name FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON o.o_orderkey = l.l_orderkey JOIN part p ON l.l_partkey = p.p_partkey",
         "join_select_project": "SELECT c.c_name AS c_name, o.o_orderkey AS o_orderkey FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE c.c_mktsegment <> 'BUILDING' AND o.o_orderstatus = 'P'",
         "join_optimal": "SELECT o.o_orderkey AS o_orderkey, n.n_name AS n_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_orderstatus = 'P'",
-        "agg_count": "SELECT CAST(COUNT(*) AS INT) AS countAgg FROM lineitem",
+        "agg_count": "SELECT COUNT(*) AS countAgg FROM lineitem",
         "agg_sum_int": "SELECT CAST(SUM(p_size) AS INT) AS sumAgg FROM part",
         "agg_sum_double": "SELECT ROUND(SUM(l_extendedprice), 2) AS sumAgg FROM lineitem",
         "agg_avg": "SELECT ROUND(AVG(p_size), 6) AS averageAgg FROM part",
-        "agg_all": "SELECT CAST(COUNT(*) AS INT) AS countAgg, CAST(SUM(p_size) AS INT) AS sumAgg, ROUND(AVG(p_size), 6) AS averageAgg FROM part",
-        "agg_empty_zero_rows": "SELECT CAST(COUNT(*) AS INT) AS countAgg FROM part WHERE p_size > 1000000 HAVING COUNT(*) > 0",
-        "agg_first_record": "SELECT arg_min(c_name, c_custkey) AS c_name, CAST(COUNT(*) AS INT) AS countAgg FROM customer HAVING COUNT(*) > 0",
-        "group_count_sum_avg": "SELECT l_returnflag, CAST(COUNT(*) AS INT) AS countAgg, CAST(SUM(l_linenumber) AS INT) AS sumAgg, ROUND(AVG(l_linenumber), 6) AS averageAgg FROM lineitem GROUP BY l_returnflag",
-        "group_no_key_projected": "SELECT CAST(COUNT(*) AS INT) AS countAgg FROM part GROUP BY p_brand",
-        "group_rows_delimited": "SELECT CAST(DENSE_RANK() OVER (ORDER BY n_regionkey) AS INT) AS group_id, n_nationkey, n_name, n_regionkey FROM nation",
-        "group_join_select": "SELECT n.n_name AS n_name, CAST(COUNT(*) AS INT) AS countAgg FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE c.c_mktsegment = 'MACHINERY' GROUP BY n.n_name",
+        "agg_all": "SELECT COUNT(*) AS countAgg, CAST(SUM(p_size) AS INT) AS sumAgg, ROUND(AVG(p_size), 6) AS averageAgg FROM part",
+        "agg_empty_zero_rows": "SELECT COUNT(*) AS countAgg FROM part WHERE p_size > 1000000 HAVING COUNT(*) > 0",
+        "agg_first_record": "SELECT arg_min(c_name, c_custkey) AS c_name, COUNT(*) AS countAgg FROM customer HAVING COUNT(*) > 0",
+        "group_count_sum_avg": "SELECT l_returnflag, COUNT(*) AS countAgg, CAST(SUM(l_linenumber) AS INT) AS sumAgg, ROUND(AVG(l_linenumber), 6) AS averageAgg FROM lineitem GROUP BY l_returnflag",
+        "group_no_key_projected": "SELECT COUNT(*) AS countAgg FROM part GROUP BY p_brand",
+        "group_rows_delimited": "SELECT DENSE_RANK() OVER (ORDER BY n_regionkey) AS group_id, n_nationkey, n_name, n_regionkey FROM nation",
+        "group_join_select": "SELECT n.n_name AS n_name, COUNT(*) AS countAgg FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE c.c_mktsegment = 'MACHINERY' GROUP BY n.n_name",
         "index_lookup_key": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 4242",
         "index_contains": "SELECT COUNT(*) > 0 AS found FROM orders WHERE o_orderkey = 4242",
-        "index_sorted_scan": "SELECT CAST(ROW_NUMBER() OVER (ORDER BY p_size, p_partkey) AS INT) AS pos, p_partkey, p_size FROM part",
-        "index_sorted_scan_from": "SELECT CAST(ROW_NUMBER() OVER (ORDER BY p_size, p_partkey) AS INT) AS pos, p_partkey, p_size FROM part WHERE p_size >= 30",
+        "index_sorted_scan": "SELECT ROW_NUMBER() OVER (ORDER BY p_size, p_partkey) AS pos, p_partkey, p_size FROM part",
+        "index_sorted_scan_from": "SELECT ROW_NUMBER() OVER (ORDER BY p_size, p_partkey) AS pos, p_partkey, p_size FROM part WHERE p_size >= 30",
         "index_scan_range": "SELECT p_partkey, p_size FROM part WHERE p_size < 5",
-        "stats_columns": "SELECT CAST(COUNT(*) AS INT) AS num_records, CAST(COUNT(DISTINCT p_size) AS INT) AS num_distinct, MIN(p_size) AS min_value, MAX(p_size) AS max_value FROM part",
-        "stats_int_histogram": f"{_WIDTH} SELECT CAST(FLOOR((p_size + 5 * m.w) / CAST(m.w AS DOUBLE)) AS INT) AS bucket, CAST(COUNT(*) AS INT) AS cnt FROM part CROSS JOIN m GROUP BY CAST(FLOOR((p_size + 5 * m.w) / CAST(m.w AS DOUBLE)) AS INT)",
-        "stats_float_histogram": "WITH v AS (SELECT CAST(TRUNC(CAST(l_discount AS FLOAT) * CAST(10000 AS FLOAT)) AS BIGINT) AS x FROM lineitem), m AS (SELECT 50 * CAST(POW(2, GREATEST(0, CEIL(LOG2((MAX(x) + 1) / 50.0)))) AS BIGINT) AS half FROM v) SELECT CAST(FLOOR((x + half) / (half / 5.0)) AS INT) AS bucket, CAST(COUNT(*) AS INT) AS cnt FROM v CROSS JOIN m GROUP BY 1",
-        "stats_string_histogram": "SELECT SUBSTRING(LOWER(p_name), 1, 1) AS bucket, CAST(COUNT(*) AS INT) AS cnt FROM part GROUP BY SUBSTRING(LOWER(p_name), 1, 1)",
-        "stats_bool_histogram": "SELECT (l_returnflag = 'R') AS bucket, CAST(COUNT(*) AS INT) AS cnt FROM lineitem GROUP BY (l_returnflag = 'R')",
+        "stats_columns": "SELECT COUNT(*) AS num_records, COUNT(DISTINCT p_size) AS num_distinct, MIN(p_size) AS min_value, MAX(p_size) AS max_value FROM part",
+        "stats_int_histogram": f"{_WIDTH} SELECT CAST(FLOOR((p_size + 5 * m.w) / CAST(m.w AS DOUBLE)) AS INT) AS bucket, COUNT(*) AS cnt FROM part CROSS JOIN m GROUP BY CAST(FLOOR((p_size + 5 * m.w) / CAST(m.w AS DOUBLE)) AS INT)",
+        "stats_float_histogram": "WITH v AS (SELECT CAST(TRUNC(CAST(l_discount AS FLOAT) * CAST(10000 AS FLOAT)) AS BIGINT) AS x FROM lineitem), m AS (SELECT 50 * CAST(POW(2, GREATEST(0, CEIL(LOG2((MAX(x) + 1) / 50.0)))) AS BIGINT) AS half FROM v) SELECT CAST(FLOOR((x + half) / (half / 5.0)) AS INT) AS bucket, COUNT(*) AS cnt FROM v CROSS JOIN m GROUP BY 1",
+        "stats_string_histogram": "SELECT SUBSTRING(LOWER(p_name), 1, 1) AS bucket, COUNT(*) AS cnt FROM part GROUP BY SUBSTRING(LOWER(p_name), 1, 1)",
+        "stats_bool_histogram": "SELECT (l_returnflag = 'R') AS bucket, COUNT(*) AS cnt FROM lineitem GROUP BY (l_returnflag = 'R')",
         "stats_reduction_factor": f"{_WIDTH}, b AS (SELECT COUNT(DISTINCT p_size) AS ndv, MIN(FLOOR(p_size / CAST(m.w AS DOUBLE)) * m.w) AS lo, MAX(FLOOR(p_size / CAST(m.w AS DOUBLE)) * m.w + m.w) AS hi FROM part CROSS JOIN m) SELECT ROUND(CAST(1 AS DOUBLE) / ndv, 6) AS rf_eq, ROUND(CAST(30 - lo AS DOUBLE) / CAST(hi - lo AS DOUBLE), 6) AS rf_lt30, ROUND(CAST(hi - 30 AS DOUBLE) / CAST(hi - lo AS DOUBLE), 6) AS rf_gt30 FROM b",
         "stats_num_pages": "SELECT CAST(CEIL(COUNT(*) / 56.0) AS INT) AS num_pages FROM lineitem",
-        "record_ids": "SELECT o_orderkey, CAST(1 + FLOOR((ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1) / 80.0) AS INT) AS page_num, CAST((ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1) % 80 AS INT) AS entry_num FROM orders",
-        "page_entries": "SELECT page_num, CAST(COUNT(*) AS INT) AS num_entries FROM (SELECT CAST(1 + FLOOR((ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1) / 80.0) AS INT) AS page_num FROM orders) GROUP BY page_num",
+        "record_ids": "SELECT o_orderkey, CAST(1 + FLOOR((ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1) / 80.0) AS BIGINT) AS page_num, CAST((ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1) % 80 AS INT) AS entry_num FROM orders",
+        "page_entries": "SELECT page_num, CAST(COUNT(*) AS INT) AS num_entries FROM (SELECT CAST(1 + FLOOR((ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1) / 80.0) AS BIGINT) AS page_num FROM orders) GROUP BY page_num",
         "dml_insert": "SELECT r_regionkey, r_name FROM region UNION ALL SELECT CAST(5 AS INT), 'ATLANTIS'",
         "dml_update": "SELECT r_regionkey, CASE WHEN r_regionkey = 0 THEN 'RENAMED' ELSE r_name END AS r_name FROM region",
         "dml_delete": "SELECT r_regionkey, r_name FROM region WHERE NOT (r_regionkey = 0)",
         "temp_table": "SELECT r_name FROM (VALUES (1), (3), (3)) AS wanted(key) JOIN region ON key = r_regionkey",
         "char_pad": "SELECT n_nationkey, RPAD(n_name, 20, ' ') AS n_name FROM nation",
+        "stats_factors_int": f"{_BUCKETS} SELECT op, ROUND(CAST(CASE op WHEN '=' THEN 1.0 / ndv WHEN '<' THEN (30 - lo) / CAST(hi - lo AS DOUBLE) WHEN '>' THEN (hi - 30) / CAST(hi - lo AS DOUBLE) WHEN '<=' THEN (30 - lo) / CAST(hi - lo AS DOUBLE) + 1.0 / ndv WHEN '>=' THEN (hi - 30) / CAST(hi - lo AS DOUBLE) + 1.0 / ndv ELSE 0 END AS DOUBLE), 5) AS factor FROM e CROSS JOIN (VALUES ('='), ('!='), ('<'), ('<='), ('>'), ('>=')) AS ops(op)",
+        "stats_factors_string": f"{_LETTERS} SELECT op, ROUND(CAST(CASE op WHEN '<' THEN (v - lo) / CAST(hi - lo + 1 AS DOUBLE) WHEN '>' THEN (hi - v) / CAST(hi - lo + 1 AS DOUBLE) ELSE 1 END AS DOUBLE), 5) AS factor FROM l CROSS JOIN (VALUES ('='), ('!='), ('<'), ('<='), ('>'), ('>=')) AS ops(op)",
+        "stats_factors_bool": "WITH s AS (SELECT AVG(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS yes FROM lineitem) SELECT op, ROUND(CAST(CASE op WHEN '=' THEN yes WHEN '!=' THEN 1 - yes ELSE 1 END AS DOUBLE), 5) AS factor FROM s CROSS JOIN (VALUES ('='), ('!='), ('<'), ('<='), ('>'), ('>=')) AS ops(op)",
+        "stats_int_range": f"{_BUCKETS} SELECT (SELECT CAST(SUM(CEIL(CAST(cnt AS FLOAT) * (CAST(GREATEST(0, LEAST(27, hi) - GREATEST(13, lo)) AS FLOAT) / CAST(w AS FLOAT)))) AS BIGINT) FROM b) AS entries, CAST(lo AS INT) AS min_value, CAST(hi AS INT) AS max_value FROM e",
+        "stats_filtered": f"{_BUCKETS} SELECT CAST(b.bucket AS INT) AS bucket, b.cnt * GREATEST(0, LEAST(27, b.hi) - b.lo) // b.w + CASE WHEN b.lo <= 27 AND 27 < b.hi THEN b.cnt // b.w ELSE 0 END AS cnt, CAST(TRUNC(CAST(e.ndv AS FLOAT) * CAST((27 - e.lo) / CAST(e.hi - e.lo AS DOUBLE) + 1.0 / e.ndv AS FLOAT)) AS BIGINT) AS distinct_values FROM b CROSS JOIN e",
+        "stats_reduced": f"{_BUCKETS} SELECT CAST(bucket AS INT) AS bucket, CAST(TRUNC(CAST(cnt AS FLOAT) * CAST(0.3 AS FLOAT)) AS BIGINT) AS cnt, CAST(CEIL(CAST(ndv AS FLOAT) * CAST(0.3 AS FLOAT)) AS BIGINT) AS distinct_values FROM b",
+        "stats_joined": f"{_PAGES} SELECT num_records FROM j",
+        "index_exists": "SELECT * FROM (VALUES ('orders', 'o_orderkey', TRUE), ('orders', 'o_custkey', FALSE), ('part', 'p_size', TRUE), ('p', 'p.p_size', TRUE), ('p', 'p_name', FALSE)) AS x(table_name, column_name, found)",
+        "index_pages": "WITH RECURSIVE levels(n, pages) AS (SELECT CAST(CASE WHEN COUNT(*) <= 400 THEN 1 ELSE CEIL(COUNT(*) / (400 * 2 / 3.0)) END AS BIGINT), CAST(1 + CASE WHEN COUNT(*) <= 400 THEN 1 ELSE CEIL(COUNT(*) / (400 * 2 / 3.0)) END AS BIGINT) FROM part UNION ALL SELECT CAST(CEIL(n / (496 * 2 / 3.0)) AS BIGINT), pages + CAST(CEIL(n / (496 * 2 / 3.0)) AS BIGINT) FROM levels WHERE n > 1) SELECT CAST(MAX(pages) AS INT) AS num_pages FROM levels",
+        "table_sizes": "SELECT COUNT(*) AS num_records, CAST(CEIL(COUNT(*) / 80.0) AS BIGINT) AS num_data_pages, CAST(80 AS INT) AS num_entries, CAST(48 AS INT) AS entry_size, CAST(10 AS INT) AS header_size, CAST(5 AS INT) AS memory_pages FROM orders",
+        "table_schema": "SELECT * FROM (VALUES ('nation.n_nationkey', 'INT'), ('nation.n_name', 'VARCHAR'), ('nation.n_regionkey', 'INT')) AS x(column_name, column_type)",
+        "page_header": "SELECT CAST(ROW_NUMBER() OVER (ORDER BY r_regionkey) - 1 AS INT) AS slot FROM region QUALIFY r_regionkey <> 2",
+        "table_reopened": "SELECT r_regionkey, r_name FROM region",
+        "table_dropped": "SELECT 'a,c' AS tables, TRUE AS first_drop, FALSE AS second_drop, TRUE AS all_dropped, CAST(0 AS INT) AS n_left",
+        "record_fetched": "SELECT r_regionkey, r_name FROM region WHERE r_regionkey = 3",
+        "record_iterator": "SELECT CAST(ROW_NUMBER() OVER (ORDER BY r_regionkey) AS INT) AS pos, r_regionkey, r_name FROM region",
+        "rows_in_memory": "SELECT * FROM (VALUES (TRUE, CAST(1 AS INT), 'a  ', CAST(0.5 AS FLOAT)), (FALSE, CAST(-2 AS INT), 'abc', CAST(0.25 AS FLOAT))) AS x(truth, whole, letters, part)",
+        "csv_load": "SELECT CAST(n_nationkey AS INT) AS n_nationkey, RPAD(n_name, 12, ' ') AS n_name, CAST(n_regionkey AS INT) AS n_regionkey FROM nation",
+        "agg_sum_float": "SELECT CAST(SUM(CAST(p_size * 0.25 AS DOUBLE)) AS FLOAT) AS sumAgg, AVG(CAST(p_size * 0.25 AS DOUBLE)) AS averageAgg FROM part",
+        "agg_type_check": "SELECT 'QueryPlanError' AS error",
+        "group_projection_check": "SELECT 'QueryPlanError' AS error",
+        "group_rows_projected": "SELECT DENSE_RANK() OVER (ORDER BY n_regionkey) AS group_id, n_regionkey FROM nation",
+        "transaction_states": "SELECT TRUE AS active, FALSE AS second_at_once, FALSE AS active_at_end, TRUE AS second_later, FALSE AS temp_left",
+        "plan_tree": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{text}')" for i, text in enumerate(_TREE, 1)) + ") AS x(line, text)",
+        "plan_costs": f"{_PAGES} SELECT algorithm, CASE algorithm WHEN 'SNLJ' THEN c.n * o.p + c.p WHEN 'PNLJ' THEN c.p * o.p + c.p WHEN 'BNLJ' THEN CAST(CEIL(c.p / 3.0) AS BIGINT) * o.p + c.p ELSE 3 * (c.p + o.p) END AS cost, j.num_records FROM c CROSS JOIN o CROSS JOIN j CROSS JOIN (VALUES ('SNLJ'), ('PNLJ'), ('BNLJ'), ('GHJ')) AS a(algorithm)",
     }

@@ -300,10 +300,13 @@ class Transaction:
 
     def record_ids(self, table: str) -> DataFrame:
         """All records with ``page_num`` from 1 and ``entry_num`` from 0."""
-        known = self._table(table)
-        n = known.schema.entries_per_page
-        places = [(F.floor(F.col(RID) / n) + 1).cast("int").alias("page_num"), (F.col(RID) % n).cast("int").alias("entry_num")]
-        return known.numbered().select(*known.schema.names, *places)
+        return self._placed(table, self._table(table).numbered())
+
+    def _placed(self, table: str, rows: DataFrame) -> DataFrame:
+        schema = self.schema(table)
+        n = schema.entries_per_page
+        places = [F.expr(f"{RID} div {n} + 1").alias("page_num"), (F.col(RID) % n).cast("int").alias("entry_num")]
+        return rows.select(*schema.names, *places)
 
     def pages(self, table: str) -> DataFrame:
         """Used slots by page."""
@@ -325,7 +328,7 @@ class Transaction:
     def column_summary(self, table: str, column: str) -> DataFrame:
         """One row: records, distinct values, least and greatest value of a column."""
         c = self._own_column(table, column)
-        wanted = [F.count(F.lit(1)).cast("int").alias("num_records"), F.count_distinct(c).cast("int").alias("num_distinct"), F.min(c).alias("min_value"), F.max(c).alias("max_value")]
+        wanted = [F.count(F.lit(1)).alias("num_records"), F.count_distinct(c).alias("num_distinct"), F.min(c).alias("min_value"), F.max(c).alias("max_value")]
         return self._table(table).rows().agg(*wanted)
 
     def histogram(self, table: str, column: str) -> DataFrame:
@@ -341,7 +344,7 @@ class Transaction:
             bucket = IntHistogram.bucket(value, doubled_range(low or 0, high or 0))
         else:
             bucket = F.col(name)
-        return known.rows().groupBy(bucket.alias("bucket")).agg(F.count("*").cast("int").alias("cnt"))
+        return known.rows().groupBy(bucket.alias("bucket")).agg(F.count("*").alias("cnt"))
 
     def num_records(self, table: str) -> int:
         return self._table(table).num_records()
@@ -361,7 +364,9 @@ class Transaction:
 
     def read_page_header(self, table: str, page: int) -> bytes:
         """Bitmap of used slots, the first slot in the highest bit."""
-        used = [r["entry_num"] for r in self.record_ids(table).filter(F.col("page_num") == page).select("entry_num").collect()]  # at most a page
+        n, known = self.num_entries_per_page(table), self._table(table)
+        own = known.numbered().filter((F.col(RID) >= (page - 1) * n) & (F.col(RID) < page * n))  # reaches the Parquet scan
+        used = [r["entry_num"] for r in self._placed(table, own).select("entry_num").collect()]  # at most a page
         header = bytearray(self.page_header_size(table))
         for slot in used:
             header[slot // 8] |= 0x80 >> slot % 8

@@ -12,8 +12,10 @@ from ..types import INT_MAX, INT_MIN, ColumnType
 COUNT_NAME, SUM_NAME, AVERAGE_NAME = "countAgg", "sumAgg", "averageAgg"
 
 
-def count_all() -> Column:
-    return F.count(F.lit(1)).cast("int")
+def count_all(wide: bool) -> Column:
+    """Number of rows: 64 bits, or of tables of 32 bits up to the limit of the type."""
+    counted = F.count(F.lit(1))
+    return counted if wide else F.least(counted, F.lit(INT_MAX)).cast("int")
 
 
 def total(column: Column, kind: ColumnType) -> Column:

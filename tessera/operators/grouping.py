@@ -24,10 +24,10 @@ def with_group_ids(df: DataFrame, key: str) -> DataFrame:
     """Add ``group_id``: the rank of the key among the distinct keys, from 1.
 
     Distinct keys are ranked and joined back, so no group and no table has to
-    pass through one task.
+    pass through one task.  Rows with a null key are a group of their own, the first.
     """
     ranks = number_rows(df.select(F.col(key).alias("_key")).distinct(), ["_key"], GROUP_ID, start=1)
-    return df.join(ranks.withColumn(GROUP_ID, F.col(GROUP_ID).cast("int")), F.col(key) == F.col("_key")).drop("_key")
+    return df.join(ranks, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def iterate_groups(df: DataFrame) -> Iterator[Row | _Marker]:

@@ -20,9 +20,12 @@ class JoinAlgorithm(enum.Enum):
     SMJ = "sort merge"
 
 
-#: A nested loop compares all pairs: it is taken up to so many bytes times bytes.
+#: Bytes in memory that a byte of a Parquet file is taken for.
+DECODED = 10
+#: A nested loop compares all pairs: it is taken up to so many bytes times bytes of files.
 NESTED_LOOP_LIMIT = 1 << 36
-#: A side is broadcast, or built into a hash table by partition, up to so many bytes.
+#: A side is broadcast, or built into a hash table, up to so many bytes in memory.  The
+#: whole side counts, so that a task can hold it even if one key has all its rows.
 BROADCAST_LIMIT, BUILD_LIMIT = 64 << 20, 256 << 20
 
 
@@ -35,12 +38,10 @@ def equi_join(left: DataFrame, right: DataFrame, left_column: str, right_column:
         condition &= F.col(x) == F.col(y)
     if algorithm in (JoinAlgorithm.SNLJ, JoinAlgorithm.PNLJ) and a * b <= NESTED_LOOP_LIMIT:
         right = right.hint("shuffle_replicate_nl")
-    elif algorithm is JoinAlgorithm.BNLJ and b <= BROADCAST_LIMIT:
+    elif algorithm is JoinAlgorithm.BNLJ and b * DECODED <= BROADCAST_LIMIT:
         right = right.hint("broadcast")
-    elif algorithm is JoinAlgorithm.GHJ:
-        parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        if a // parts <= BUILD_LIMIT:
-            left = left.hint("shuffle_hash")
+    elif algorithm is JoinAlgorithm.GHJ and a * DECODED <= BUILD_LIMIT:
+        left = left.hint("shuffle_hash")
     elif algorithm is JoinAlgorithm.SMJ:
         right = right.hint("merge")
     return left.join(right, condition)

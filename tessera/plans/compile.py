@@ -172,18 +172,20 @@ def compile_query(resolved: Resolved, order: list | None = None, ordered: bool =
 
     if query.aggregates:
         place = F.struct(*[c for s in resolved.scans for c in s.order]) if needs_order else None
+        # Without an order of insertion the first record is the least one by the projected columns.
+        least = F.min(F.struct(*[F.col(c.physical).alias(f"first{i}") for i, (_, c) in enumerate(firsts)])) if firsts else None
         columns = []
         for i, (_, c) in enumerate(firsts):
-            first = F.min_by(F.col(c.physical), place) if needs_order else F.min(c.physical)
+            first = F.min_by(F.col(c.physical), place) if needs_order else least[f"first{i}"]
             columns.append(first.alias(f"first{i}"))
+        external = not all(s.table.stored for s in resolved.scans)
         if query.counted:
-            columns.append(count_all().alias(COUNT_NAME))
+            columns.append(count_all(wide=external).alias(COUNT_NAME))
         if query.sum_column is not None:
             c = resolve(query.sum_column, scope)
             columns.append(total(F.col(c.physical), c.type).alias(SUM_NAME))
         if query.average_column is not None:
             c = resolve(query.average_column, scope)
-            external = not all(s.table.stored for s in resolved.scans)
             columns.append(average(F.col(c.physical), c.type, double=external).alias(AVERAGE_NAME))
         if group is None:
             # A global aggregate of no rows has no row.

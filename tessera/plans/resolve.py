@@ -29,9 +29,9 @@ def resolve(reference: str, scope: list[ScopeColumn]) -> ScopeColumn:
     else:
         found = [c for c in scope if c.name == reference]
     if not found:
-        raise QueryPlanError(f"Error: No column {reference} found")
+        raise QueryPlanError(f"Error: {reference} names no column of this query")
     if len(found) > 1:
-        raise QueryPlanError(f"Error: Column {reference} specified twice without disambiguation")
+        raise QueryPlanError(f"Error: {reference} names a column of {' and of '.join(c.table for c in found)}; write it with its table")
     return found[0]
 
 

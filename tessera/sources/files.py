@@ -26,6 +26,20 @@ class Files:
         fs, target = self._at(path)
         fs.delete(target, True)
 
+    def scheme(self, path: str) -> str:
+        return self._at(path)[0].getUri().getScheme()
+
+    def make_for_now(self, path: str) -> None:
+        """Make a folder that is deleted with its content when the application ends."""
+        fs, target = self._at(path)
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
+
+    def names(self, path: str) -> list[str]:
+        """Names of what lies in a folder."""
+        fs, target = self._at(path)
+        return [s.getPath().getName() for s in fs.listStatus(target)]
+
     def read(self, path: str) -> str:
         fs, target = self._at(path)
         stream = fs.open(target)

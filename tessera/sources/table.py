@@ -1,15 +1,17 @@
 """Tables of records.
 
-A stored table is a list of immutable Parquet folders (segments) and a counter.
-Inserts add a segment; updates and deletes rewrite only the segments that hold
-the record.  The list is replaced as a whole in the catalog, so a reader sees
-one state or the next.
+A stored table is a list of immutable Parquet folders (segments).  A load writes
+one segment for each range of record numbers, inserts add small ones, and an
+update or delete rewrites only the segment that holds the record, which is
+bounded.  Small segments are merged among themselves.  The list is replaced as a
+whole in the catalog, so a reader sees one state or the next.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +22,12 @@ from ..functions.stats import Measured, TableStats, measure
 from ..schema import RID, RecordID, Schema
 from .files import Files
 
-#: With more segments than this, an insert first rewrites them as one.
+#: Bytes of records in the range of one segment: what an update rewrites at most.
+SEGMENT_BYTES = 256 << 20
+#: With more segments of few records than this, an insert first merges these.
 MAX_SEGMENTS = 32
+#: Record numbers that are looked through together for free ones.
+GAP_BLOCK = 1024
 #: Distinct values of larger tables are estimated.
 EXACT_BYTES = 1 << 30
 
@@ -120,7 +126,13 @@ class StoredTable:
 
     # Writing; each returns with the new list in place, to be saved by the catalog
 
+    @property
+    def segment_rows(self) -> int:
+        """Record numbers of a range."""
+        return max(1, SEGMENT_BYTES // self.schema.size)
+
     def _write(self, df: DataFrame) -> list[dict]:
+        """One segment of all rows."""
         path = f"{self.name}/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{path}")
         seen = self.spark.read.schema(self.schema.spark(rid=True)).parquet(f"{self.root}/{path}").agg(F.count("*"), F.min(RID), F.max(RID)).first()
@@ -129,6 +141,21 @@ class StoredTable:
             return []
         return [{"path": path, "records": seen[0], "first": seen[1], "last": seen[2], "bytes": self._files.size(f"{self.root}/{path}")}]
 
+    def _write_ranges(self, df: DataFrame) -> list[dict]:
+        """One segment for each range of record numbers."""
+        path = f"{self.name}/{uuid.uuid4().hex}"
+        ranged = df.withColumn("_range", F.expr(f"{RID} div {self.segment_rows}"))
+        ranged.repartition("_range").sortWithinPartitions("_range", RID).write.partitionBy("_range").parquet(f"{self.root}/{path}")
+        if not any(name.startswith("_range=") for name in self._files.names(f"{self.root}/{path}")):
+            self._files.delete(f"{self.root}/{path}")
+            return []
+        seen = self.spark.read.parquet(f"{self.root}/{path}").groupBy("_range").agg(F.count("*"), F.min(RID), F.max(RID)).orderBy("_range").collect()  # a row a segment
+        out = []
+        for k, records, first, last in seen:
+            own = f"{path}/_range={k}"
+            out.append({"path": own, "records": records, "first": first, "last": last, "bytes": self._files.size(f"{self.root}/{own}")})
+        return out
+
     def _become(self, segments: list[dict]) -> None:
         kept = {s["path"] for s in segments}
         self._old += [s["path"] for s in self.segments if s["path"] not in kept]
@@ -147,14 +174,13 @@ class StoredTable:
         free: list[int] = []
         if holes:
             used = self.numbered().select(RID)
-            gaps = used.select((F.col(RID) + 1).alias(RID)).union(self.spark.createDataFrame([(0,)], f"{RID} long")).join(used, RID, "left_anti")
-            # Starts of the first gaps; each is followed by free numbers up to the next used one.
-            for (start,) in gaps.filter(F.col(RID) <= last).orderBy(RID).limit(holes).collect():
-                end = used.filter(F.col(RID) > start).agg(F.min(RID)).first()[0]
-                free += range(start, end)
-                if len(free) >= holes:
-                    break
-        free = free[:holes]
+            block = F.expr(f"{RID} div {GAP_BLOCK}").alias("id")
+            counts = used.groupBy(block).agg(F.count("*").alias("n"))
+            room = self.spark.range(last // GAP_BLOCK + 1).join(counts, "id", "left").filter(F.coalesce("n", F.lit(0)) < F.least(F.lit(GAP_BLOCK), last + 1 - F.col("id") * GAP_BLOCK))
+            blocks = sorted(r["id"] for r in room.orderBy("id").limit(holes).select("id").collect())  # no more than rows to insert
+            near = used.filter(F.col(RID).between(blocks[0] * GAP_BLOCK, (blocks[-1] + 1) * GAP_BLOCK)).filter(F.expr(f"{RID} div {GAP_BLOCK}").isin(blocks))
+            taken = {r[0] for r in near.collect()}
+            free = [i for b in blocks for i in range(b * GAP_BLOCK, min((b + 1) * GAP_BLOCK, last + 1)) if i not in taken][:holes]
         return free + list(range(last + 1, last + 1 + n - len(free)))
 
     def insert(self, values: Iterable[Sequence[object]]) -> list[RecordID]:
@@ -163,8 +189,9 @@ class StoredTable:
         if not rows:
             return []
         rids = self.free_rids(len(rows))
-        if len(self.segments) >= MAX_SEGMENTS:
-            self._become(self._write(self.numbered().coalesce(max(1, self.size_bytes() >> 27))))
+        small = [s for s in self.segments if s["records"] <= self.segment_rows // 8]
+        if len(small) >= MAX_SEGMENTS:
+            self._become([s for s in self.segments if s not in small] + self._write_ranges(self._read(small)))
         added = self.spark.createDataFrame([(r, *v) for r, v in zip(rids, rows)], self.schema.spark(rid=True))
         self._become(self.segments + self._write(added.coalesce(1)))
         return [self.schema.record_id(r) for r in rids]
@@ -182,32 +209,35 @@ class StoredTable:
             checked = F.coalesce(value, F.raise_error(F.lit(f"null in column {name}")).cast(kind.spark))
             columns.append(checked.alias(name))
         numbered = number_rows(df, list(order), RID, start=self.last_rid() + 1).select(RID, *columns)
-        written = self._write(numbered)
+        written = self._write_ranges(numbered)
         self._become(self.segments + written)
         return sum(s["records"] for s in written)
 
-    def _holding(self, rid: int) -> list[dict]:
-        return [s for s in self.segments if s["first"] <= rid <= s["last"]]
-
-    def record(self, where: RecordID) -> tuple:
+    def _found(self, where: RecordID) -> tuple[tuple, dict]:
+        """A record, and the segment that holds it."""
         rid = self.schema.rid(where)
-        found = self._read(self._holding(rid)).filter(F.col(RID) == rid).select(*self.schema.names).first()
+        near = [s for s in self.segments if s["first"] <= rid <= s["last"]]
+        found = self._read(near).filter(F.col(RID) == rid).select(*self.schema.names, "_metadata.file_path").first() if near else None
         if found is None:
             raise DatabaseError(f"there is no record at {where}")
-        return tuple(found)
+        *values, file = found
+        return tuple(values), next(s for s in near if f"/{s['path']}/" in unquote(file))
+
+    def record(self, where: RecordID) -> tuple:
+        return self._found(where)[0]
 
     def update(self, where: RecordID, values: Sequence[object]) -> tuple:
         """Replace a whole record; returns the old one."""
-        new, old, rid = self.schema.verify(values), self.record(where), self.schema.rid(where)
-        held = self._holding(rid)
+        new, (old, segment), rid = self.schema.verify(values), self._found(where), self.schema.rid(where)
+        held = [segment]
         changed = [F.when(F.col(RID) == rid, F.lit(v).cast(t.spark)).otherwise(F.col(n)).alias(n) for n, t, v in zip(self.schema.names, self.schema.types, new)]
         self._become([s for s in self.segments if s not in held] + self._write(self._read(held).select(RID, *changed)))
         return old
 
     def delete(self, where: RecordID) -> tuple:
         """Remove a record; returns it.  Its slot is free for the next insert."""
-        old, rid = self.record(where), self.schema.rid(where)
-        held = self._holding(rid)
+        (old, segment), rid = self._found(where), self.schema.rid(where)
+        held = [segment]
         self._become([s for s in self.segments if s not in held] + self._write(self._read(held).filter(F.col(RID) != rid)))
         return old
 

@@ -1,8 +1,12 @@
 import threading
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import BOOL, FLOAT, INT, STRING, Database, DatabaseError, RecordID, Schema
+from tessera.functions import numbering
+from tessera.sources import workspace
 from tessera.sources.csv import read_csv
 
 from .fixtures import ALL, CONSTANT, ONE_INT, fill, valued
@@ -173,3 +177,54 @@ def test_stream(database, spark, tmp_path):
         load_stream(database, "t", stream, ["k"], f"file://{tmp_path}/check").awaitTermination(60)
     with database.begin_transaction() as t:
         assert [r["k"] for r in t.records("t")] == [1, 3, 2]
+
+
+def test_an_update_rewrites_one_range(database, spark, monkeypatch):
+    monkeypatch.setattr("tessera.sources.table.SEGMENT_BYTES", 400)
+    database.create_table(ONE_INT, "t")
+    with database.begin_transaction() as t:
+        assert t.load("t", spark.range(10_000).select(F.col("id").cast("int").alias("int")), ["int"]) == 10_000
+        table = database._tables["t"]
+        before = {s["path"]: s for s in table.segments}
+        assert len(before) == 100 and all(s["records"] == 100 for s in before.values())
+        where = t.schema("t").record_id(5050)
+        assert t.update_record("t", [-1], where) == (5050,) and t.get_record("t", where) == (-1,)
+        new = [s for s in table.segments if s["path"] not in before]
+        assert len(new) == 1 and len(table.segments) == 100 and (new[0]["first"], new[0]["last"]) == (5000, 5099)
+        assert new[0]["bytes"] < 2 * max(s["bytes"] for s in before.values())
+        assert t.delete_record("t", t.schema("t").record_id(9999)) == (9999,)
+        assert t.delete_record("t", t.schema("t").record_id(0)) == (0,) and t.num_records("t") == 9998
+        assert [t.schema("t").rid(p) for p in t.add_records("t", [[7], [8], [9]])] == [0, 9999, 10_000]
+        assert t.get_record("t", t.schema("t").record_id(0)) == (7,)
+
+
+def test_whole_pages_of_free_slots(database, spark):
+    database.create_table(ONE_INT, "t")
+    with database.begin_transaction() as t:
+        t.load("t", spark.range(5000).select(F.col("id").cast("int").alias("int")), ["int"])
+        table = database._tables["t"]
+        table._become(table._write_ranges(table.numbered().filter("_rid < 10 or _rid >= 4090")))
+        assert table.free_rids(4085) == [*range(10, 4090), *range(5000, 5005)]
+
+
+def test_numbering_divides_equal_keys_and_keeps_nulls(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "RANGE_ROWS", 50)
+    rows = [(None if i % 7 == 0 else 3, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(5)
+    bounds = numbering.range_bounds(df, ["a", "b"], 1000)
+    assert len(bounds) > 10
+    got = sorted((r["n"], r["a"], r["b"]) for r in numbering.number_rows(df, ["a", "b"], "n").collect())
+    assert [(a, b) for _, a, b in got] == sorted(rows, key=lambda r: (r[0] is not None, r[1])) and [g[0] for g in got] == list(range(1000))
+    sizes = numbering.number_rows(df, ["a", "b"], "n").select(numbering._range_of(df, ["a", "b"], bounds).alias("p")).groupBy("p").count().collect()
+    assert len(sizes) == len(bounds) + 1 and max(r["count"] for r in sizes) < 200
+
+
+def test_work_folders_of_a_cluster_are_shared(spark, monkeypatch, tmp_path):
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, *_: f"file:{tmp_path}/warehouse" if key == "spark.sql.warehouse.dir" else None), sparkContext=spark.sparkContext)
+    assert workspace.shared_root(unset).startswith("file://")
+    monkeypatch.setattr(workspace, "_is_local", lambda spark: False)
+    with pytest.raises(DatabaseError):
+        workspace.shared_root(unset)
+    monkeypatch.undo()
+    path = workspace.work_folder(spark, "x")
+    assert path.endswith("/x") and spark.sparkContext.applicationId in path
