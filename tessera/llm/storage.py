@@ -1,7 +1,8 @@
 """Tables in the folder that the driver and all executors share.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``.  A lost
-executor then costs a re-read of shared files and no recomputation.
+executor then costs a re-read of shared files and no recomputation.  Tables that
+are not released earlier go when the application ends.
 """
 
 from __future__ import annotations
@@ -10,9 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from tessera.sources.workspace import shared_root
+from tessera.sources.workspace import work_folder
 
-__all__ = ["materialize", "release", "shared_root"]
+__all__ = ["materialize", "release", "work_folder"]
 
 
 #: Rows of a file, for tables of a few columns whose size is known.
@@ -28,7 +29,7 @@ def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // FILE_ROWS))))
-    path = f"{shared_root(spark)}/tessera-{uuid.uuid4().hex}-{label}"
+    path = work_folder(spark, f"{label}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text in a block; scratch arrays take a few times eight bytes for each.
 BLOCK_BYTES = 1 << 20
+#: Rows of a block at most, so that two bytes number them.
+BLOCK_ROWS = 1 << 15
 
 _U = np.uint64
 #: Multiplier of the polynomial hash modulo 2**64 and its inverse.
@@ -62,11 +64,11 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) of blocks of at most ``most`` bytes or one row."""
+    """(first row, end row, bytes, offsets from 0) of blocks of at most ``most`` bytes, or one row, and ``BLOCK_ROWS`` rows."""
     data, at = text_buffers(column)
     i, n = 0, len(at) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1), i + BLOCK_ROWS)
         yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 

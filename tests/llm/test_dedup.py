@@ -6,14 +6,16 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, embed_dedup, jaccard_join, line_dedup, queries
 from tessera.llm import textkernel as tk
 from tessera.llm.components import connected_components
 from tests.conftest import SF
 
-from .conftest import prose
+from .conftest import CLASHING, prose
 
 LAST = (1 << 63) - 1
 
@@ -192,6 +194,7 @@ def got_vectors(df):
 
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "SPLIT", 20)
+    monkeypatch.setattr(embed_dedup, "CELL", 40)
     rng, rows = np.random.default_rng(2), []
     centres = rng.standard_normal((12, 16))
     for k in range(300):
@@ -199,7 +202,7 @@ def test_vectors(spark, monkeypatch):
         rows.append((k, [float(np.float32(x)) for x in v]))
     rows += [(1000 + i, rows[5][1]) for i in range(40)]  # equal vectors
     rows += [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] + [1.0] * 15), (2004, [None] + [1.0] * 15), (2005, [float("inf")] * 16), (None, rows[5][1]), (2006, [1.0, 2.0]), (2007, [2.0, 4.0]), (7, rows[9][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(c) for c in [*CLASHING, "cell", "pair", "code", "rep", "good", "splits"]}).repartition(3)
     got, want = got_vectors(embed_dedup.near_duplicates(df, recall=0.9999)), brute_vectors(rows)
     assert sum(g[1] for g in got) >= 0.999 * sum(w[1] for w in want) and [g[0] for g in got] == [w[0] for w in want]
     assert all(g[1] <= w[1] for g, w in zip(got, want))
@@ -215,11 +218,43 @@ def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(1)
     a, b = (embed_dedup.unit(rng.standard_normal((400, 64))) for _ in range(2))
     b[:200] = embed_dedup.unit(a[:200] + 0.1 * b[:200])
-    turned, _, _ = embed_dedup.codes(a)
-    _, code, factor = embed_dedup.codes(b)
-    estimate, exact = (turned @ code.T) / factor, a @ b.T
-    error = embed_dedup.BOUND * np.sqrt(1 - factor**2) / factor / np.sqrt(63)
-    assert abs((estimate - exact).mean()) < 0.002 and (np.abs(estimate - exact) <= error).mean() > 0.995
+    b[200:300] = embed_dedup.unit(a[200:300] + 0.04 * b[200:300])
+    exact = a @ b.T
+    for bits, groups in ((0, 1), (8, 10)):
+        count = embed_dedup.rotations(64, bits, groups)
+        left, right = (embed_dedup.Codes.of(x, count) for x in (a, b))
+        again = embed_dedup.Codes.unpacked(np.array([list(p) for p in right.packed()], np.uint8), 64, count)
+        assert (again.signs == right.signs).all() and (again.levels == right.levels).all() and (again.cells(bits, groups) == right.cells(bits, groups)).all()
+        used = embed_dedup._used(64, count)
+        estimate = left.queries() @ np.where(again.signs[:, : used * 64], 1, -1).T / np.sqrt(used * 64) / again.factor
+        assert abs((estimate - exact).mean()) < 0.002
+        for threshold in (0.6, 0.95, 0.99):
+            near = exact >= threshold
+            kept = np.zeros(exact.shape, bool)
+            for i, j in embed_dedup.possible_pairs(left, again, threshold):
+                kept[i, j] = True
+            assert near.any() and kept[near].mean() > 0.99 and kept[~near].mean() < 0.2
+
+
+def test_recall_with_the_registered_parameters(spark):
+    """All pairs of 50,000 vectors by brute force, many of them just above the threshold."""
+    rng = np.random.default_rng(11)
+    vectors = rng.standard_normal((50_000, 32)).astype(np.float32)
+    near = vectors[:10_000] / np.linalg.norm(vectors[:10_000], axis=1, keepdims=True)
+    angle = rng.uniform(0.05, 0.36, 10_000)[:, None]
+    away = rng.standard_normal((10_000, 32))
+    away -= (away * near).sum(1, keepdims=True) * near
+    vectors[10_000:20_000] = np.cos(angle) * near + np.sin(angle) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    units = embed_dedup.unit(vectors)
+    want, single = np.zeros(len(units), np.int64), units.astype(np.float32)
+    for a in range(0, len(units), 1000):
+        i, j = np.nonzero(single[a : a + 1000] @ single[a:].T > 0.9499)
+        i, j = i[i < j] + a, j[i < j] + a
+        sure = np.einsum("ij,ij->i", units[i], units[j]) >= 0.95
+        want += np.bincount(i[sure], minlength=len(units)) + np.bincount(j[sure], minlength=len(units))
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(units)), "embedding": pa.array(list(vectors), pa.list_(pa.float32()))})).repartition(8)
+    got = embed_dedup.near_duplicates(frame).select("vec_id", "n_links").toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    assert want.sum() > 15_000 and (got <= want).all() and got.sum() >= 0.999 * want.sum()
 
 
 def brute_scores(index, words):
