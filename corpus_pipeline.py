@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import curriculum_mix, decontaminate, jaccard_join, language_id, minimax_shards
-from tessera.llm.storage import shared_root
+from tessera.llm.storage import remove, work_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHARDS = 16
+#: Share of a document's words that its main language holds at least.
+MAIN_SHARE = 0.5
 
 
 def row_key() -> Column:
@@ -25,19 +27,23 @@ def row_key() -> Column:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told: null texts and texts without a
-    letter.  The same ones go if there are no labelled rows to learn a language from."""
+    """Writes the language found into ``lang`` and drops documents without one: null
+    texts, texts without a letter, and texts of which no language holds ``MAIN_SHARE``
+    of the words.  If there are no labelled rows to learn a language from, ``lang``
+    stays and texts with a letter stay.  Repeated rows and null ids are judged row by
+    row; an empty table gives an empty one, and further columns go."""
     model = language_id.train(docs.filter(~language_id.held_out()))
     if not model.languages:
         return docs.select(*COLUMNS).filter(F.col("text").cast("string").rlike(r"\p{L}"))
     judged = language_id.identify(docs.select(*COLUMNS), model, keep=COLUMNS)
-    return judged.filter("lang_pred <> 'und'").select(*COLUMNS)
+    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_SHARE)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked documents one row stays, that of the smallest id (null
     ids come last).  Rows are told apart by content, so that ids may be null or
-    repeated; texts without words link with nothing, and all their rows stay."""
+    repeated; of rows that are equal in all columns one stays.  Texts without words
+    link with nothing, and all their rows stay.  An empty table gives an empty one."""
     keyed = docs.select(*COLUMNS, row_key())
     classes = jaccard_join.jaccard_classes(keyed.select(F.col("_t_row").alias("doc_id"), "text")).filter("n_shingles > 0")
     members = classes.groupBy(F.col("doc_id").alias("_t_row")).agg(F.first("component_id").alias("_t_class"), F.count("*").alias("_t_rows"))
@@ -51,24 +57,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a test item."""
+    """Drops documents that hold a test item.  Null and empty texts hold none, rows are
+    judged one by one, and an empty benchmark drops nothing."""
     found = decontaminate.find_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS)
     return found.filter(F.size("matches") == 0).select(*COLUMNS)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the mix does not take and repeats those it takes again,
-    row by row: ids may be null or repeated."""
+    """Drops documents that the mix does not take, repeats those it takes again, and
+    sorts by training position, so that the written files hold the curriculum.  A
+    document that is taken in part is kept whole.  Rows are told apart by content: ids
+    may be null or repeated.  Texts without words are not taken; ties of position go
+    by content.  An empty table gives an empty one."""
     keyed = docs.select(*COLUMNS, row_key())
-    taken = curriculum_mix.mix_sources(keyed, keep=["_t_row"]).groupBy("_t_row").agg(F.sum(F.size("positions")).alias("_t_times"), F.count("*").alias("_t_rows"))
-    joined = keyed.join(taken.filter("_t_times > 0"), "_t_row")
-    once = joined.filter("_t_rows > 1").dropDuplicates(["_t_row"])  # equal rows: one stands for all their times
-    mixed = joined.filter("_t_rows = 1").unionByName(once)
-    return mixed.withColumn("_t_copy", F.explode(F.sequence(F.lit(1), F.col("_t_times").cast("int")))).select(*COLUMNS)
+    readings = curriculum_mix.readings(curriculum_mix.mix_sources(keyed, keep=["_t_row"])).select("_t_row", "position")
+    rows = keyed.dropDuplicates(["_t_row"])  # equal rows: one stands for the readings of all
+    return rows.join(readings, "_t_row").orderBy("position", "_t_row").select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Assigns every document to a shard and a slot."""
+    """Assigns every document to a shard and a slot; see ``shard_documents`` for odd rows."""
     return minimax_shards.shard_documents(docs, SHARDS, keep=COLUMNS)
 
 
@@ -85,13 +93,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; tables between stages are written to the shared folder."""
-    base = f"{shared_root(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to ``documents``; tables between stages are written to the
+    shared folder, and each goes when the next is written (the last with the application)."""
+    base = work_folder(spark, f"corpus-{uuid.uuid4().hex}")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             path = f"{base}/{number}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs

@@ -115,6 +115,12 @@ def mix_sources(
     return rows.select("doc_id", "source", "size", "source_size", "target", "taken", positions.alias("positions"), *keep)
 
 
+def readings(mixed: DataFrame) -> DataFrame:
+    """One row ``position`` for each time that a document is taken, wholly or in part; the rest goes."""
+    return mixed.withColumn("position", F.explode("positions")).drop("positions")
+
+
 def in_training_order(mixed: DataFrame) -> DataFrame:
-    """Range-sort by first position; what is not taken comes last."""
-    return mixed.orderBy(F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(float("inf"))), "doc_id")
+    """One row for each reading, range-sorted by ``position``; what is not taken goes.  Equal
+    positions go by id, null ids first."""
+    return readings(mixed).orderBy("position", "doc_id", "size")

@@ -25,13 +25,19 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
+    docs = _table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, ranks=secret_scan.ranked_words(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2: the spans of the fixed patterns, without those of the method."""
+    return secret_scan.scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
 
 
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum_mix.mix_sources(_table(spark, sf_dir, "documents"))
-    ordered = curriculum_mix.in_training_order(mixed)
-    return ordered.select("doc_id", "size", "source_size", "target", "taken")
+    first = F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(float("inf")))  # what is not taken comes last
+    return mixed.orderBy(first, "doc_id").select("doc_id", "size", "source_size", "target", "taken", F.size("positions").alias("times"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +76,7 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_curriculum_mix, op4_line_dedup, op5_jaccard_join, op6_embed_dedup, op7_minimax_shards, op8_url_equivalence, op9_language_id, op10_quality_nbsvm)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_curriculum_mix, op4_line_dedup, op5_jaccard_join, op6_embed_dedup, op7_minimax_shards, op8_url_equivalence, op9_language_id, op10_quality_nbsvm, secret_base_spans)}
 
 
 _OP3 = r"""
@@ -103,10 +109,9 @@ WITH sized AS (
          CAST(COALESCE(SUM(d.size) OVER (PARTITION BY d.source ORDER BY d.turn, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target,
-       GREATEST(0, LEAST(size, CAST(FLOOR(target) AS BIGINT) - ahead))
-       + GREATEST(0, LEAST(size, CAST(FLOOR(target) AS BIGINT) - ahead - source_size)) AS taken
-FROM placed
+SELECT doc_id, size, source_size, target, first_taken + second_taken AS taken, CAST(first_taken > 0 AS INT) + CAST(second_taken > 0 AS INT) AS times
+FROM (SELECT *, GREATEST(0, LEAST(size, CAST(FLOOR(target) AS BIGINT) - ahead)) AS first_taken,
+             GREATEST(0, LEAST(size, CAST(FLOOR(target) AS BIGINT) - ahead - source_size)) AS second_taken FROM placed)
 """
 
 _OP8 = r"""
@@ -217,5 +222,38 @@ SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found
 """
 
 
+_SECRETS = r"""
+WITH RECURSIVE assigns(doc_id, rest, ahead, found) AS (
+  SELECT doc_id, text, CAST(0 AS BIGINT), regexp_extract(text, 'ASSIGN') FROM documents WHERE regexp_matches(text, 'ASSIGN')
+  UNION ALL
+  SELECT doc_id, substr(rest, strpos(rest, found) + length(found)), ahead + strpos(rest, found) - 1 + length(found),
+         regexp_extract(substr(rest, strpos(rest, found) + length(found)), 'ASSIGN')
+  FROM assigns WHERE found <> ''
+), assign_spans AS (
+  SELECT doc_id, ahead + strpos(rest, found) - 1 AS a, ahead + strpos(rest, found) - 1 + length(found) AS b FROM assigns
+  WHERE found <> '' AND length(regexp_extract(found, 'ASSIGN', 2)) >= 8
+), accesses(doc_id, rest, ahead, found) AS (
+  SELECT doc_id, text, CAST(0 AS BIGINT), regexp_extract(text, 'AKIA[A-Z0-9]{12,}') FROM documents WHERE regexp_matches(text, 'AKIA[A-Z0-9]{12,}')
+  UNION ALL
+  SELECT doc_id, substr(rest, strpos(rest, found) + length(found)), ahead + strpos(rest, found) - 1 + length(found), regexp_extract(substr(rest, strpos(rest, found) + length(found)), 'AKIA[A-Z0-9]{12,}')
+  FROM accesses WHERE found <> ''
+), hexes(doc_id, rest, ahead, found) AS (
+  SELECT doc_id, text, CAST(0 AS BIGINT), regexp_extract(text, '[0-9a-f]{32,}') FROM documents WHERE regexp_matches(text, '[0-9a-f]{32,}')
+  UNION ALL
+  SELECT doc_id, substr(rest, strpos(rest, found) + length(found)), ahead + strpos(rest, found) - 1 + length(found), regexp_extract(substr(rest, strpos(rest, found) + length(found)), '[0-9a-f]{32,}')
+  FROM hexes WHERE found <> ''
+), spans AS (
+  SELECT doc_id, 0 AS k, 'assign' AS kind, a, b FROM assign_spans
+  UNION ALL SELECT doc_id, 1, 'access', ahead + strpos(rest, found) - 1, ahead + strpos(rest, found) - 1 + length(found) FROM accesses WHERE found <> ''
+  UNION ALL SELECT doc_id, 2, 'hex', ahead + strpos(rest, found) - 1, ahead + strpos(rest, found) - 1 + length(found) FROM hexes WHERE found <> ''
+), joined AS (
+  SELECT doc_id, COUNT(*) FILTER (k = 0) AS n0, COUNT(*) FILTER (k = 1) AS n1, COUNT(*) FILTER (k = 2) AS n2, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS written
+  FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, COALESCE(n0, 0) AS n_assign, COALESCE(n1, 0) AS n_access, COALESCE(n2, 0) AS n_hex, sha256(COALESCE(written, '')) AS base_sha256
+FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id
+""".replace("ASSIGN", "(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name) for name in ("password", "passwd", "secret", "token", "api_?key")) + ")[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": _OP5, "op6_embed_dedup": _OP6, "op4_line_dedup": _OP4, "op3_curriculum_mix": _OP3, "op8_url_equivalence": "WITH RECURSIVE" + _OP8.lstrip().removeprefix("WITH")}
+    return {"secret_base_spans": _SECRETS, "op5_jaccard_join": _OP5, "op6_embed_dedup": _OP6, "op4_line_dedup": _OP4, "op3_curriculum_mix": _OP3, "op8_url_equivalence": "WITH RECURSIVE" + _OP8.lstrip().removeprefix("WITH")}

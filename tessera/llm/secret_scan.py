@@ -11,7 +11,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterator, Mapping
+from itertools import accumulate
 from math import log2
 
 import numpy as np
@@ -43,6 +44,11 @@ MIN_BITS = 34.0
 #: Cost of each segment that is not a brute-force character.
 SEGMENT_BITS = 1.0
 LONGEST_WORD, SHORTEST_WORD = 24, 3
+#: Sequences, walks and repeats are cut after at most so many characters, or at their end.
+LONGEST_RUN = 32
+#: Words of the corpus that guessers are taken to try, the most frequent by documents
+#: first, and the least number of documents that hold one.
+DICTIONARY, LEAST_DOCUMENTS = 50_000, 2
 
 #: Words that guessers try first, most common first.
 COMMON_WORDS = (
@@ -60,13 +66,11 @@ DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d
 WORD = re.compile(r"[^\W\d_]{3,24}")
 
 
-def _neighbours() -> set[tuple[str, str]]:
-    at = {c: (x, y) for y, row in enumerate(KEY_ROWS) for x, c in enumerate(row) if c != " "}
-    return {(a, b) for a, (x, y) in at.items() for b, (u, v) in at.items() if a != b and abs(y - v) <= 1 and -1 <= u - x <= 1}
-
-
-NEIGHBOURS = _neighbours()
+KEY_AT = {c: (x, y) for y, row in enumerate(KEY_ROWS) for x, c in enumerate(row) if c != " "}
+NEIGHBOURS = {(a, b) for a, (x, y) in KEY_AT.items() for b, (u, v) in KEY_AT.items() if a != b and abs(y - v) <= 1 and -1 <= u - x <= 1}
 RANK_BITS = {w: log2(i + 2) for i, w in enumerate(COMMON_WORDS)}
+#: Bits of the first key of a walk, of a year and of a day.
+KEY_BITS, YEAR_BITS, DAY_BITS = log2(47), log2(130), log2(130 * 365) + 2.0
 
 
 def _character_bits(c: str) -> float:
@@ -84,21 +88,36 @@ def _run_ends(n: int, holds) -> list[int]:
     return ends
 
 
-def guess_bits(value: str, words: Collection[str] | None = None) -> float:
-    """Least cost of guessing ``value``, in bits; linear in its length.
+def _stops(start: int, end: int, step: int = 1, least: int = 3) -> list[int]:
+    """Ends of the segments of a run: up to ``LONGEST_RUN`` characters, or the whole rest of the run."""
+    stops = [j for j in range(start + step, min(end, start + LONGEST_RUN) + 1, step) if j - start >= least]
+    if end - start > LONGEST_RUN:
+        stops.append(end)
+    return stops
+
+
+def guess_bits(value: str, words: Collection[str] | None = None, ranks: Mapping[str, float] = RANK_BITS) -> float:
+    """Least cost of guessing ``value``, in bits, over all segmentations; linear in its length.
 
     ``words`` are further words that a guesser would try, such as those of the
-    surrounding text.  The empty value costs nothing.
+    surrounding text; ``ranks`` gives the bits of the words of a ranked list.  The
+    empty value costs nothing.
     """
     n = len(value)
     lower = value.lower()
     if len(lower) != n:  # a few capitals change their length
         lower = value
     plain = lower.translate(LEET)
-    extra = 1.0 + log2(len(words) + len(RANK_BITS) + 1) if words else 0.0
-    up = _run_ends(n, lambda i: ord(value[i + 1]) - ord(value[i]) == 1)
-    down = _run_ends(n, lambda i: ord(value[i]) - ord(value[i + 1]) == 1)
+    extra = 1.0 + log2(len(words) + len(ranks) + 1) if words else 0.0
+    bits_of = [_character_bits(c) for c in value]
+    code = [ord(c) for c in value]
+    up = _run_ends(n, lambda i: code[i + 1] - code[i] == 1)
+    down = _run_ends(n, lambda i: code[i] - code[i + 1] == 1)
     walk = _run_ends(n, lambda i: (lower[i], lower[i + 1]) in NEIGHBOURS)
+    # turns[k]: changes of direction of walks at the characters before k.
+    place = [KEY_AT.get(c, (0, 0)) for c in lower]
+    move = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(place, place[1:])]
+    turns = [0, 0, *accumulate(a != b for a, b in zip(move, move[1:]))]
     same = {p: _matches(value, p) for p in range(1, 5)}
     dates: dict[int, int] = {m.start(): m.end() for m in DATE.finditer(value)}
     best = [0.0] + [float("inf")] * n
@@ -109,10 +128,10 @@ def guess_bits(value: str, words: Collection[str] | None = None) -> float:
             if have + bits < best[j]:
                 best[j] = have + bits
 
-        offer(i + 1, _character_bits(value[i]))
+        offer(i + 1, bits_of[i])
         for j in range(i + SHORTEST_WORD, min(n, i + LONGEST_WORD) + 1):
             for word, changed in ((lower[i:j], 0.0), (plain[i:j], 1.5)):
-                bits = RANK_BITS.get(word)
+                bits = ranks.get(word)
                 if bits is None and words and word in words:
                     bits = extra
                 if bits is not None:
@@ -120,15 +139,18 @@ def guess_bits(value: str, words: Collection[str] | None = None) -> float:
                     offer(j, SEGMENT_BITS + bits + changed + (0.0 if not capitals else 1.0 if capitals in (1, j - i) else min(capitals, j - i - capitals) * 1.5 + 1.0))
         for ends in (up, down):
             if ends[i] - i >= 3:
-                offer(ends[i], SEGMENT_BITS + _character_bits(value[i]) + 1.0 + log2(ends[i] - i))
+                for j in _stops(i, ends[i]):
+                    offer(j, SEGMENT_BITS + bits_of[i] + 1.0 + log2(j - i))
         if walk[i] - i >= 3:
-            offer(walk[i], SEGMENT_BITS + log2(47) + log2(walk[i] - i) + 2.0 * _turns(lower, i, walk[i]))
+            for j in _stops(i, walk[i]):
+                offer(j, SEGMENT_BITS + KEY_BITS + log2(j - i) + 2.0 * (turns[j - 1] - turns[i + 1]))
         if i in dates:
-            offer(dates[i], SEGMENT_BITS + (log2(130) if dates[i] - i == 4 else log2(130 * 365) + 2.0))
+            offer(dates[i], SEGMENT_BITS + (YEAR_BITS if dates[i] - i == 4 else DAY_BITS))
         for p, run in same.items():
-            times = (run[i] + p) // p if i < len(run) else 1
-            if times >= 2 and p * times >= 3:
-                offer(i + p * times, SEGMENT_BITS + sum(map(_character_bits, value[i : i + p])) + log2(times))
+            if run[i] >= p:
+                unit = sum(bits_of[i : i + p])
+                for j in _stops(i, i + (run[i] + p) // p * p, p, max(2 * p, 3)):
+                    offer(j, SEGMENT_BITS + unit + log2((j - i) // p))
     return best[n]
 
 
@@ -141,13 +163,6 @@ def _matches(value: str, p: int) -> list[int]:
     return run
 
 
-def _turns(lower: str, i: int, j: int) -> int:
-    """Changes of direction of a keyboard walk."""
-    at = {c: (x, y) for y, row in enumerate(KEY_ROWS) for x, c in enumerate(row)}
-    steps = [(at[b][0] - at[a][0], at[b][1] - at[a][1]) for a, b in zip(lower[i:j], lower[i + 1 : j])]
-    return sum(a != b for a, b in zip(steps, steps[1:]))
-
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the fixed patterns, in order."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGN]
@@ -173,22 +188,25 @@ def _word_counts(text: str) -> Counter:
     return Counter(WORD.findall(text.lower()))
 
 
-def guess_spans(text: str) -> list[tuple[int, int, int]]:
-    """Values in credential context that are costly to guess; the span is the value alone."""
-    out: list[tuple[int, int, int]] = []
-    counts: Counter | None = None
+def credential_values(text: str) -> list[tuple[int, int]]:
+    """Spans of the values in credential context."""
+    out = []
     for m in CONTEXT.finditer(text):
         start, end = m.span(m.lastindex)
         while m.lastindex == 3 and end > start and text[end - 1] in ".!?)]}":
             end -= 1
-        if end - start < 6:
-            continue
-        counts = _word_counts(text) if counts is None else counts
-        if guess_bits(text[start:end], _Elsewhere(counts, _word_counts(text[start:end]))) >= MIN_BITS:
-            out.append((start, 3, end))
+        if end - start >= 6:
+            out.append((start, end))
     return out
 
 
+def guess_spans(text: str, ranks: Mapping[str, float] = RANK_BITS) -> list[tuple[int, int, int]]:
+    """Values in credential context that are costly to guess; the span is the value alone."""
+    values = credential_values(text)
+    counts = _word_counts(text) if values else Counter()
+    return [(a, 3, b) for a, b in values if guess_bits(text[a:b], _Elsewhere(counts, _word_counts(text[a:b])), ranks) >= MIN_BITS]
+
+
 def _written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -220,15 +238,68 @@ def candidate_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def _letters() -> np.ndarray:
+    """Bytes that part words: all ASCII but letters."""
+    table = np.ones(256, bool)
+    table[0x80:] = False
+    for low, high in (("A", "Z"), ("a", "z")):
+        table[ord(low) : ord(high) + 1] = False
+    return table
+
+
+_PARTS_WORDS = _letters()
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each block outside of secrets and credential values, with the number of its documents that hold them."""
+    for batch in batches:
+        for _, _, data, offsets in tk.blocks(batch.column("_t_text")):
+            data = tk.LOWERED[data]
+            for r in candidate_rows(data, offsets):
+                text = data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace")
+                for a, b in [*credential_values(text), *((a, b) for a, _, b in base_spans(text))]:
+                    at = offsets[r] + len(text[:a].encode())
+                    data[at : at + len(text[a:b].encode())] = 0x20
+            starts, ends, first = tk.word_spans(data, offsets, _PARTS_WORDS)
+            row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+            fit = (ends - starts >= SHORTEST_WORD) & (ends - starts <= 4 * LONGEST_WORD)
+            starts, ends, row = starts[fit], ends[fit], row[fit]
+            if not len(starts):
+                continue
+            hashes = tk.span_hashes(data, starts, ends)
+            order = np.lexsort((row, hashes))
+            h, r = hashes[order], row[order]
+            new_word = np.concatenate(([True], h[1:] != h[:-1]))
+            new_pair = new_word | np.concatenate(([True], r[1:] != r[:-1]))
+            counts = np.add.reduceat(new_pair.astype(np.int64), np.flatnonzero(new_word))
+            words = [data[a:b].tobytes() for a, b in zip(starts[order][new_word], ends[order][new_word])]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts)], names=["word", "n"])
+
+
+def ranked_words(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_DOCUMENTS) -> dict[str, float]:
+    """Bits of the ``most`` words that the most texts hold, at least ``least``, and of the common
+    ones.  Words are counted over all texts, apart from secrets and credential values, so that a
+    secret in many copies does not become a word.  Equal counts rank by the word."""
+    counted = docs.select(F.col("text").cast("string").alias("_t_text")).mapInArrow(_count_words, "word binary, n long")
+    word = F.lower(F.col("word").cast("string"))
+    sums = counted.groupBy("word").agg(F.sum("n").alias("n")).select(word.alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    fit = sums.filter((F.col("n") >= least) & F.length("word").between(SHORTEST_WORD, LONGEST_WORD))
+    rows = fit.orderBy(F.desc("n"), "word").limit(most).collect()  # at most ``most`` words
+    return {r["word"]: log2(i + 2) for i, r in reversed(list(enumerate(rows, len(COMMON_WORDS))))} | RANK_BITS
+
+
+def scan(docs: DataFrame, keep: list[str] | None = None, ranks: Mapping[str, float] = RANK_BITS) -> DataFrame:
     """Find secrets in whole texts.
 
+    ``ranks`` gives the bits of dictionary words, such as :func:`ranked_words`.
     Returns the columns named in ``keep`` and ``n_assign, n_access, n_hex,
     n_guess, base_sha256, spans``, one row per input row.  Positions are code
-    points.  Null and empty texts have no spans.  Further columns are ignored, and
-    repeated rows are judged each by itself.
+    points.  Null and empty texts have no spans.  A text is read as a whole in one
+    task, in time linear in its length.  Repeated rows are judged each by itself, an empty table
+    gives an empty one, and further columns are ignored; those in ``keep`` must not have the names of results.
     """
     keep = keep or ["doc_id"]
+    shared = docs.sparkSession.sparkContext.broadcast(dict(ranks))  # at most DICTIONARY words, about 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +310,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
                 for r in candidate_rows(data, offsets):
                     text = data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace")
                     base = base_spans(text)
-                    every = sorted(base + guess_spans(text))
+                    every = sorted(base + guess_spans(text, shared.value))
                     for _, kind, _ in every:
                         counts[kind, first + r] += 1
                     digest[first + r] = hashlib.sha256(_written(base).encode()).hexdigest()

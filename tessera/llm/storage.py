@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from tessera.sources.files import Files
 from tessera.sources.workspace import work_folder
 
-__all__ = ["materialize", "release", "work_folder"]
+__all__ = ["materialize", "release", "remove", "work_folder"]
 
 
 #: Rows of a file, for tables of a few columns whose size is known.
@@ -23,8 +24,10 @@ FILE_ROWS = 50_000
 def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
-    ``rows`` is a bound of a narrow table's rows where one is known: then it is
-    written in as few files as fit, and not in one for each shuffle partition.
+    ``rows`` is a bound of the rows of a table of two or three numbers where one is
+    known: then it is written in as few files as fit, and not in one for each
+    shuffle partition.  Wider tables, and those made from wide ones, have no bound
+    given, so that no task reads more than its share.
     """
     spark = df.sparkSession
     if rows is not None:
@@ -40,6 +43,9 @@ def release(df: DataFrame | None) -> None:
     """Delete the files of a table made by :func:`materialize`, once nothing reads them."""
     path = getattr(df, "_tessera_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one."""
+    Files(spark).delete(path)

@@ -1,8 +1,12 @@
 """Secret scan, language identification, quality, URL filter."""
 
 import hashlib
+import random
 import re
+import string
+import time
 import zlib
+from math import inf, log2
 
 import numpy as np
 import pytest
@@ -57,17 +61,80 @@ def test_guessed_secrets_in_quotes():
         assert [text[a:b] for a, _, b in secret_scan.guess_spans(text)] == ([value] if value else [])
 
 
-def test_guess_cost_is_the_least_over_segmentations():
-    """Against all segmentations of short values, each segment priced by itself."""
+def character(c):
+    return 12.0 if ord(c) > 127 else log2(10) if c in string.digits else log2(26) if c in string.ascii_letters else log2(33)
+
+
+def key_steps(s):
+    """Moves of the finger between neighbouring keys, None where a key is not next to the one before."""
+    where = {c: (x, y) for y, row in enumerate(secret_scan.KEY_ROWS) for x, c in enumerate(row) if c != " "}
+    if any(c not in where for c in s):
+        return None
+    steps = [(where[b][0] - where[a][0], where[b][1] - where[a][1]) for a, b in zip(s, s[1:])]
+    return steps if all(max(abs(x), abs(y)) == 1 for x, y in steps) else None
+
+
+def segment_price(v, i, j, extra):
+    """Price of v[i:j] as one segment, whatever kind is cheapest; infinite if it is of none."""
+    s, low, prices = v[i:j], v[i:j].lower(), [character(v[i])] if j == i + 1 else []
+    for word, more in ((low, 0.0), (low.translate(str.maketrans("@4013$5!7", "aaoiessit")), 1.5)):
+        if 3 <= len(s) <= 24 and (word in secret_scan.COMMON_WORDS or word in extra):
+            rank = log2(secret_scan.COMMON_WORDS.index(word) + 2) if word in secret_scan.COMMON_WORDS else 1 + log2(len(extra) + len(secret_scan.COMMON_WORDS) + 1)
+            big = sum(c.isupper() for c in s)
+            prices.append(1 + rank + more + (0 if big == 0 else 1 if big in (1, len(s)) else 1 + 1.5 * min(big, len(s) - big)))
+    differences = {ord(b) - ord(a) for a, b in zip(s, s[1:])}
+    if len(s) >= 3 and differences in ({1}, {-1}):
+        prices.append(1 + character(s[0]) + 1 + log2(len(s)))
+    steps = key_steps(low)
+    if len(s) >= 3 and steps:
+        prices.append(1 + log2(47) + log2(len(s)) + 2 * sum(a != b for a, b in zip(steps, steps[1:])))
+    for m in secret_scan.DATE.finditer(v):
+        if m.span() == (i, j):
+            prices.append(1 + (log2(130) if j - i == 4 else log2(130 * 365) + 2))
+    for p in range(1, 5):
+        if len(s) >= max(3, 2 * p) and len(s) % p == 0 and s == s[:p] * (len(s) // p):
+            prices.append(1 + sum(map(character, s[:p])) + log2(len(s) // p))
+    return min(prices, default=inf)
+
+
+def least_price(v, extra=()):
+    best = [0.0] + [inf] * len(v)
+    for j in range(1, len(v) + 1):
+        best[j] = min(best[i] + segment_price(v, i, j, extra) for i in range(j))
+    return best[-1]
 
-    def brute(v):
-        best = secret_scan.guess_bits(v)
-        for i in range(1, len(v)):
-            assert best <= secret_scan.guess_bits(v[:i]) + secret_scan.guess_bits(v[i:]) + 1e-9
-        return best
 
-    for v in ["password1", "qwerty2020", "aaaabbbb", "abc123xyz", "Passw0rd!", "a1b2c3", "2021-12-31x"]:
-        brute(v)
+def test_guess_cost_is_the_least_over_segmentations():
+    """Against all segmentations, priced without the operator; values shorter than ``LONGEST_RUN``."""
+    rng = random.Random(4)
+    parts = ["password", "P4ssw0rd", "Dragon", "qwerty", "zxcvb", "2021-12-31", "1999", "12.3.2004", "aaaa", "xyxyxy", "abcdef", "9876", "k", "Q", "#", "é", "zorblax", "qwew", "0abc1"]
+    values = ["password1", "qwerty2020", "aaaabbbb", "abc123xyz", "Passw0rd!", "a1b2c3", "2021-12-31x", "abcabcabc", "qazxsw", "1qaz2wsx", "aaab", "İstanbul"]
+    values += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 5)))[:31] for _ in range(300)]
+    for v in values:
+        assert secret_scan.guess_bits(v) == pytest.approx(least_price(v)), v
+        assert secret_scan.guess_bits(v, {"zorblax"}) == pytest.approx(least_price(v, {"zorblax"})), v
+
+
+def test_long_values_are_priced_in_time():
+    began = time.perf_counter()
+    for unit in ("qwew", "x", "abc", "a1B#", "qwertzuiop"):
+        assert secret_scan.guess_bits(unit * (100_000 // len(unit))) > 0
+    assert time.perf_counter() - began < 25
+
+
+def test_words_of_the_corpus_are_no_secrets(spark):
+    rows = [(i, f"The mountain and the river, elephant {i} giraffe; butterflies. secret: kqzvwxjyhhgf" + (" token=Zq9vXw3kLm8Tr5" if i < 3 else "")) for i in range(6)]
+    rows += [(10, "password: mountainriver"), (11, "pwd = elephantgiraffe"), (12, "secret: butterflies2019"), (13, None), (14, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranks = secret_scan.ranked_words(docs)
+    assert {"mountain", "river", "elephant", "giraffe", "butterflies", "secret"} <= set(ranks) and "kqzvwxjyhhgf" not in ranks
+    found = {r["doc_id"]: r["n_guess"] for r in secret_scan.scan(docs, ranks=ranks).collect()}
+    assert [found[i] for i in (10, 11, 12)] == [0, 0, 0] and all(found[i] for i in range(6))
+    assert sorted(secret_scan.ranked_words(docs, most=2)) == sorted([*secret_scan.COMMON_WORDS, *[w for w in ("and", "the", "butterflies", "elephant") if w in secret_scan.ranked_words(docs, most=2)]])
+    assert secret_scan.ranked_words(docs.limit(0)) == secret_scan.RANK_BITS
+
+
+def test_guess_cost_of_words_and_walks():
     cost = secret_scan.guess_bits
     assert cost("") == 0 and cost("aaaaaaaaaaaa") < cost("aqzjvmwpxkty") and cost("qwertyuiop") < cost("qpwoeirutz")
     assert cost("2021-12-31") < cost("8264-97-53") and cost("password") < cost("Pa$$w0rd") < cost("kqzvwxjy")
