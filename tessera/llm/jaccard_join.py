@@ -49,8 +49,8 @@ DRAWS = (4, 32)
 #: Size blocks: each holds the sizes within this ratio.
 SIZE_RATIO = 1.15
 MANY = 0xFFFF
-#: Rows of work tables for each set that is left after the counting filter, from
-#: which the number of their files follows (not a limit).
+#: Edges for each set that is left after the counting filter, from which the number
+#: of files of tables of edges and classes follows (not a limit).
 PER_SET = 20
 
 _MESSAGE = "dest long, kind int, block long, a binary, b binary"
@@ -346,17 +346,17 @@ class _Links:
     def passes(self, overlap: Column) -> Column:
         return overlap * (100 + self.percent) >= (F.col("na") + F.col("nb")) * self.percent
 
-    def check(self, pairs: DataFrame) -> None:
-        """Compute the overlaps of pairs ``a, b, na, nb`` that are new, and merge the linked ones."""
+    def check(self, pairs: DataFrame) -> DataFrame:
+        """Compute the overlaps of pairs ``a, b, na, nb`` that are new; returns the linked ones."""
         pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
         if self.checked is not None:
             pairs = pairs.join(self.checked.select("a", "b"), ["a", "b"], "left_anti")
         left = self.sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
         right = self.sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
         overlap = F.size(F.array_intersect("ha", "hb"))
-        done = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", overlap.alias("overlap")), "overlaps", self.count * PER_SET)
+        done = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", overlap.alias("overlap")), "overlaps")
         self.checked = done if self.checked is None else self.checked.unionByName(done)
-        self.merge(done.filter(self.passes(F.col("overlap"))).select("a", "b"))
+        return done.filter(self.passes(F.col("overlap"))).select("a", "b")
 
     def merge(self, links: DataFrame) -> None:
         """Join the classes that links ``a, b`` connect.  Only links between different
@@ -473,23 +473,23 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     reps = stats.filter("open").groupBy("node").agg(F.min("doc_id").alias("rep"))
     texts = docs.withColumn("rep", F.coalesce("doc_id", F.lit(NULL_ID))).join(reps, "rep").select("node", "text")
-    sets = materialize(texts.mapInArrow(_named_sets(width), "node long, n int, hashes array<long>").dropDuplicates(["node"]), "shingles", reps.count() * PER_SET)
+    sets = materialize(texts.mapInArrow(_named_sets(width), "node long, n int, hashes array<long>").dropDuplicates(["node"]), "shingles")
     count, total = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     sent = sets.select("node", "hashes").mapInArrow(_send_sets(_range_bits(total)), _MESSAGE)
     counted = _exchange(sent, "dest", parts).mapInArrow(_total_ranges, _MESSAGE)
-    postings = materialize(_exchange(counted, "block", parts).mapInArrow(_prefixes(percent), "h long, node long, n int, pos int"), "postings", total * (100 - percent) // 100 + count)
+    postings = materialize(_exchange(counted, "block", parts).mapInArrow(_prefixes(percent), "h long, node long, n int, pos int"), "postings")
 
     links = _Links(sets, count, percent)
     for number, draws in enumerate((1, *DRAWS)):
         met = _drawn_leaders(links.labelled(postings), number, draws, percent) if number else _first_leaders(postings)
-        links.check(met.filter(_admissible("n", "pos", "m_n", "m_pos", percent)).select(*_pair("node", "n", "m", "m_n")))
-    left = materialize(_pairs_left(links.labelled(postings), links).groupBy("a", "b", "na", "nb").agg(F.max("low").alias("low"), F.min("high").alias("high")), "left", count * PER_SET)
-    links.check(left.filter(links.passes(F.col("high")) & ~links.passes(F.col("low"))).select("a", "b", "na", "nb"))
-    links.merge(left.filter(links.passes(F.col("low"))).select("a", "b"))
+        links.merge(links.check(met.filter(_admissible("n", "pos", "m_n", "m_pos", percent)).select(*_pair("node", "n", "m", "m_n"))))
+    left = materialize(_pairs_left(links.labelled(postings), links).groupBy("a", "b", "na", "nb").agg(F.max("low").alias("low"), F.min("high").alias("high")), "left")
+    open_ = left.filter(links.passes(F.col("high")) & ~links.passes(F.col("low")))
+    links.merge(links.check(open_.select("a", "b", "na", "nb")).unionByName(left.filter(links.passes(F.col("low"))).select("a", "b")))
 
     rooted = stats.join(links.classes, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     # Written first, so that the join below is one of two tables and a large class can be split.
-    least = materialize(rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least", stats.count())
+    least = materialize(rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     real = lambda c: F.when(c != NULL_ID, c)
     out = rooted.join(least, "root", "left")
     return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("least", "doc_id")).alias("component_id"))
