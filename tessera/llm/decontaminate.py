@@ -13,8 +13,9 @@ one) is a query, and all chunks at or above the threshold are retrieved:
 Pruning uses upper bounds only: the result equals that of scoring everything.
 Items whose parts lie apart reach no threshold in one window.  They are opened by
 the rarest n-grams of their longer part: so many that no document that holds half
-of the part's n-grams can lack all of them.  Opened and retrieved items count when n-grams of both their question and their answer are
-found in the document, or a short part of the two with few words edited.
+of the part's n-grams can lack all of them.  Opened and retrieved items count when
+n-grams of both their question and their answer are found in the document, or a
+short part of the two with few words edited.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +50,10 @@ ANSWER_WORDS = 5
 BLOCK = 16
 #: Non-essential terms reach at most this share of any chunk's score.
 REST = 0.35
-#: Bytes of item text in one index; more items are searched in several passes.
+#: Bytes of item text in one index; more items make several.
 INDEX_BYTES = 16 << 20
+#: Bytes of documents that a task takes through all indexes at a time, if there are several.
+GROUP_BYTES = 64 << 20
 
 _MATCH = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 _ANSWER = re.compile(r"(?i)(?:\banswer\s*[:.\-]|^\s*a\s*:)", re.MULTILINE)
@@ -334,8 +338,10 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None =
     all its words follow each other in the document, one of at most ``SHORT`` words
     also with an edit of one word in ``EDIT_EVERY``.  Items without words match
     nothing; repeated items count once; a null item id stays null.  The index is broadcast in parts of at most
-    ``INDEX_BYTES`` of item text, each of which reads the documents' texts once.
-    Further columns of either table are ignored.
+    ``INDEX_BYTES`` of item text; a task holds one of them at a time and takes it to
+    ``GROUP_BYTES`` of documents.  Long texts are read whole: parts of an item may lie
+    apart in them.  Repeated rows and null ids of documents are judged each by itself, ties
+    go by item, an empty table gives an empty one, and further columns of either table are ignored.
     """
     keep = keep or ["doc_id"]
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0").distinct()
@@ -345,29 +351,60 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None =
     parts = [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number) for number in range(passes)]
     # Weights come from all items, so that scores do not depend on the number of passes.
     totals = reduce(ChunkTotals.plus, (ChunkTotals.of(r["text"] for r in mine.select("text").collect()) for mine in parts)) if passes > 1 else None
+    shared = []
     for mine in parts:
         index = ItemIndex(sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=lambda r: (r[0] is None, r)), totals)  # at most about INDEX_BYTES
-        out = out.mapInArrow(_scanner(index.__dict__, docs.sparkSession), out.schema)
-    return out.drop("_t_text")
+        shared.append(docs.sparkSession.sparkContext.broadcast(index.__dict__))
+        if passes > 1:
+            _forget(shared[-1])
+    return out.mapInArrow(_scanner(shared), out.schema).drop("_t_text")
 
 
-def _scanner(index: dict, spark):
-    shared = spark.sparkContext.broadcast(index)
+def _forget(part: Broadcast) -> None:
+    """Drops this process's copy of a broadcast value; its next use reads the file again."""
+    part.__dict__.pop("_value", None)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _search(known: ItemIndex, texts: pa.Array, matches: list[list[dict]]) -> None:
+    """Adds to each row's matches the index's items that its text holds."""
+    for i, _, data, offsets in tk.blocks(texts):
+        words, first = words_of(data, offsets)
+        hits: dict[int, list[tuple[int, float | None]]] = {}
+        for r, k, s in known.candidates(words, first):
+            hits.setdefault(r, []).append((k, s))
+        for r, own in hits.items():
+            names = ("item_id", "score", "question_overlap", "answer_overlap")
+            matches[i + r] = matches[i + r] + [dict(zip(names, m)) for m in known.verified(words[first[r] : first[r + 1]], own)]
+
+
+def _scanner(shared: list[Broadcast]):
+    """One scan that walks the parts of the index one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ItemIndex.__new__(ItemIndex)
-        known.__dict__.update(shared.value)
-        for batch in batches:
-            matches = batch.column("matches").to_pylist()
-            for i, _, data, offsets in tk.blocks(batch.column("_t_text")):
-                words, first = words_of(data, offsets)
-                hits: dict[int, list[tuple[int, float | None]]] = {}
-                for r, k, s in known.candidates(words, first):
-                    hits.setdefault(r, []).append((k, s))
-                for r, own in hits.items():
-                    names = ("item_id", "score", "question_overlap", "answer_overlap")
-                    matches[i + r] = matches[i + r] + [dict(zip(names, m)) for m in known.verified(words[first[r] : first[r + 1]], own)]
-            at = batch.schema.get_field_index("matches")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(matches, batch.schema.field(at).type))
+        for group in _grouped(batches, GROUP_BYTES if len(shared) > 1 else 0):
+            matches = [batch.column("matches").to_pylist() for batch in group]
+            for part in shared:
+                known = ItemIndex.__new__(ItemIndex)
+                known.__dict__.update(part.value)
+                for batch, own in zip(group, matches):
+                    _search(known, batch.column("_t_text"), own)
+                if len(shared) > 1:
+                    _forget(part)
+            for batch, own in zip(group, matches):
+                at = batch.schema.get_field_index("matches")
+                own = [sorted(m, key=lambda x: (x["item_id"] is None, x["item_id"])) for m in own]
+                yield batch.set_column(at, batch.schema.field(at), pa.array(own, batch.schema.field(at).type))
 
     return run

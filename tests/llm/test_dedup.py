@@ -367,5 +367,49 @@ def test_scores_do_not_depend_on_the_passes(spark, monkeypatch):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     scores = lambda: {(r["doc_id"], m["item_id"]): m["score"] for r in decontaminate.find_matches(docs, bench).collect() for m in r["matches"]}
     want = scores()
-    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 2000)
-    assert want and scores() == pytest.approx(want)
+    for limit in (400, 2000):
+        monkeypatch.setattr(decontaminate, "INDEX_BYTES", limit)
+        assert want and scores() == pytest.approx(want)
+    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 1)
+    assert scores() == pytest.approx(want)
+    plan = decontaminate.find_matches(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def runs_of(words, width):
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
+def edits_of(part, words):
+    """Least edits of a part to a run of words: the plain table."""
+    above = [0] * (len(words) + 1)
+    for i, p in enumerate(part, 1):
+        row = [i]
+        for j, w in enumerate(words, 1):
+            row.append(min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (p != w)))
+        above = row
+    return min(above)
+
+
+def holds_item(words, text):
+    """Whether words hold both parts of an item, without index, hashes or pruning."""
+    parts = [re.findall(r"[0-9a-z\x80-\U0010ffff]+", part.translate(LOW)) for part in decontaminate.split_item(text)]
+    shares = []
+    for part in parts:
+        own = runs_of(part, min(3, len(part)))
+        shares.append(len(own & runs_of(words, min(3, len(part)))) / len(own) if own and part else 0.0)
+    found = list(shares)
+    for i, part in enumerate(parts):
+        if shares[i] < 0.5 and 3 <= len(part) <= 24 and (len(part) >= 5 or shares[1 - i] >= 0.5) and len(runs_of(words, 1) & runs_of(part, 1)) >= len(part) // 2:
+            edits = edits_of(part, words)
+            if edits <= max(1, len(part) // 5):
+                found[i] = max(shares[i], 1 - edits / len(part))
+    return min(found) >= 0.5
+
+
+def test_the_whole_query_against_brute_force(spark):
+    items = [r for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r["text"]]
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = {(i, item["item_id"]) for i, text in texts.items() for item in items if holds_item(re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").translate(LOW)), item["text"])}
+    got = queries.op1_decontaminate(spark, SF).collect()
+    assert want and {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
