@@ -131,7 +131,7 @@ WITH parsed AS (
 ), judged AS (
   SELECT s.page_id, s.url, s.html, s.host, s.path, f.rule, f.action,
          regexp_replace(s.host, '^www\.', '') || regexp_replace(s.path, '/+$', '') AS base,
-         regexp_replace(regexp_replace(regexp_replace(regexp_extract(s.url, '\?([^#]*)', 1), '(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'gi'), '&{2,}', '&', 'g'), '^&|&$', '', 'g') AS query
+         regexp_replace(regexp_replace(regexp_replace(regexp_extract(s.url, '\?([^#]*)', 1), '(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'gi'), '&{2,}', '&', 'g'), '^&|&$', '', 'g') AS query
   FROM split s LEFT JOIN fits f ON s.page_id IS NOT DISTINCT FROM f.page_id AND s.url = f.url AND f.place = 1
 ), nodes AS (
   SELECT *, CASE WHEN strpos(url, '://') > 0 THEN base || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS node FROM judged
@@ -147,7 +147,7 @@ WITH parsed AS (
 ), edges AS (
   SELECT node, regexp_replace(lower(regexp_extract(target, '://([^/?#]*)', 1)), '^www\.', '') || regexp_replace(regexp_extract(target, '://[^/?#]*([^?#]*)', 1), '/+$', '')
          || CASE WHEN q = '' THEN '' ELSE '?' || q END AS other
-  FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_extract(target, '\?([^#]*)', 1), '(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'gi'), '&{2,}', '&', 'g'), '^&|&$', '', 'g') AS q FROM targets)
+  FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_extract(target, '\?([^#]*)', 1), '(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'gi'), '&{2,}', '&', 'g'), '^&|&$', '', 'g') AS q FROM targets)
 ), both_ways AS (
   SELECT node AS a, other AS b FROM edges UNION SELECT other, node FROM edges
 ), reach(a, b) AS (

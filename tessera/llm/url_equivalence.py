@@ -25,11 +25,11 @@ DEFAULT_RULES = (
     ("allow", "org", "/fr/"),
 )
 
-#: Rule lists up to this length become one expression; longer ones are refused.
-MAX_INLINE_RULES = 2000
+#: Rule lists up to this length become one expression; longer ones are joined, with the same result.
+MAX_INLINE_RULES = 16
 
-#: Query parameters that only track visitors.
-TRACKING = r"(?i)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
+#: Query parameters that only track visitors, from where a parameter starts.
+TRACKING = r"(?i)(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -52,17 +52,40 @@ def path_of(url: Column) -> Column:
 
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule text, action) of the longest rule that fits, null where none does.
-    Of rules of one length, an allowing one goes first."""
-    if len(rules) > MAX_INLINE_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_INLINE_RULES} are compiled into an expression")
+    Of rules of one length an allowing one goes first, then the last by text."""
     text, action = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for verb, rule_host, rule_path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[0] == "allow")):
+    for verb, rule_host, rule_path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[0] == "allow", r[1] + r[2])):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
         text = F.when(fits, F.lit(rule_host + rule_path)).otherwise(text)
         action = F.when(fits, F.lit(verb)).otherwise(action)
     return text, action
 
 
+def with_matching_rule(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """Add ``rule`` and ``action`` of :func:`matching_rule` to rows with ``host, path``.
+
+    Long lists, and tables ``action, host, path``, are joined: a host is looked up
+    by each of its suffixes, and its path by the prefixes of the lengths that rules of
+    that suffix have, so that rows meet rules that fit only.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= MAX_INLINE_RULES:
+            rule, action = matching_rule(F.col("host"), F.col("path"), rules)
+            return pages.withColumns({"rule": rule, "action": action})
+        rules = pages.sparkSession.createDataFrame([tuple(r) for r in rules], "action string, host string, path string")
+    table = rules.groupBy(F.col("host").alias("suffix"), F.col("path").alias("prefix")).agg(F.min("action").alias("action"))  # allow before block
+    lengths = table.groupBy("suffix").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    places = pages.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = places.withColumn("suffix", F.explode(suffixes)).join(lengths, "suffix").withColumn("long", F.explode("lengths"))
+    asked = asked.filter(F.length("path") >= F.col("long")).withColumn("prefix", F.substring(F.col("path"), F.lit(1), F.col("long")))
+    text = F.concat("suffix", "prefix")
+    longest = F.max_by(F.struct(text.alias("rule"), "action"), F.struct(F.length(text), F.col("action") == "allow", text)).alias("best")
+    best = asked.join(table, ["suffix", "prefix"]).groupBy("host", "path").agg(longest).select("host", "path", "best.*")
+    return pages.join(best, ["host", "path"], "left")
+
+
 def canonical_form(url: Column) -> Column:
     """One spelling for URLs that name the same resource whatever the page says:
     no scheme, ``www.``, fragment, tracking parameters or trailing slash."""
@@ -94,7 +117,7 @@ def _resolved(target: Column, url: Column) -> Column:
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """``url, target`` for each canonical link and each refresh redirect in ``html``."""
+    """``url, target`` for the first canonical link and the first refresh redirect in ``html``."""
     html, url = F.col("html"), F.col("url")
     link = F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
     refresh = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
@@ -103,14 +126,19 @@ def page_edges(pages: DataFrame) -> DataFrame:
     return found.filter("target is not null")
 
 
-def classify_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = DEFAULT_RULES, redirects: DataFrame | None = None) -> DataFrame:
+def classify_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame = DEFAULT_RULES, redirects: DataFrame | None = None) -> DataFrame:
     """Verdict for every page.
 
-    ``pages`` has ``page_id, url, html``; ``redirects`` may add ``url, target``
-    edges.  Returns ``page_id, url, host, path, rule, verdict, alias_class``,
-    one row per input row.  A null url or one without ``://`` has empty host and
-    path, fits no rule, has no aliases and is allowed.  Null or empty html gives
-    no edges.  Further columns are ignored, repeated rows are kept.
+    ``pages`` has ``page_id, url, html``; ``rules`` lists action, host and path;
+    ``redirects`` may add ``url, target`` edges.  Returns ``page_id, url, host, path,
+    rule, verdict, alias_class``, one row per input row.  A null url or one without
+    ``://`` has empty host and path, fits no rule, has no aliases and is allowed.
+    Null or empty html gives no edges; of several canonical links or refresh
+    redirects in a page the first counts, and html is searched as a whole, however
+    long.  Of rules of one length an allowing one goes first; a class with both
+    allowed and blocked pages passes nothing on.  Null ids and repeated rows are
+    kept and judged by their url alone.  An empty table gives an empty one, and further
+    columns are ignored, whatever their names.
     """
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     edges = page_edges(pages)
@@ -121,8 +149,7 @@ def classify_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = DEFA
 
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = pages.select("page_id", "url", host.alias("host"), path.alias("path"), F.when(F.instr("url", "://") > 0, F.xxhash64(canonical_form(F.col("url")))).alias("node"))
-    rule, action = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = judged.withColumns({"rule": rule, "action": action})
+    judged = with_matching_rule(judged, rules)
     judged = judged.join(classes, "node", "left").withColumn("alias_class", F.coalesce("component", "node"))
     ruled = judged.filter("action is not null and alias_class is not null").groupBy("alias_class")
     status = ruled.agg(F.max(F.col("action") == "allow").alias("allowed"), F.max(F.col("action") == "block").alias("blocked"))
