@@ -1,7 +1,7 @@
 """Quality classifier: a linear hinge-loss model on naive Bayes features.
 
-Indicators of hashed byte trigrams and of repeated-word pairs are scaled by the log-ratio of their counts in
-the two classes; a support vector machine on these features is fitted by dual
+Indicators of hashed byte trigrams and word pairs are scaled by the log-ratio of their
+counts in the two classes; a support vector machine on these features is fitted by dual
 coordinate descent on a bounded sample of labelled rows, and its margin is
 turned into a probability by a logistic fit.  Scoring covers whole texts.
 """
@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 
-#: Buckets of hashed byte trigrams, and the numbers of word pairs "w w" that have an indicator of their own.
-BUCKETS, PAIRS = 1 << 15, (1, 2, 4, 8)
-FEATURES = BUCKETS + len(PAIRS)
+#: Buckets of hashed byte trigrams, and as many of hashed pairs of words.
+BUCKETS = 1 << 15
+FEATURES = 2 * BUCKETS
+#: Rows whose features are marked at a time.
+ROWS = 256
 #: Labelled documents that training reads at most (chosen by a hash of the id); a documented bound.
 MAX_TRAINING_DOCS = 4000
 #: Added to both classes' counts.
@@ -45,17 +47,11 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return (((two << np.uint32(16)) | (one << np.uint32(8)) | x) * np.uint32(0x85EBCA6B)) >> np.uint32(17)
 
 
-def _equal_pairs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Number of words in each row that equal the word before."""
+def _word_pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all pairs of consecutive words, and the row bounds among them; a single word is a pair."""
     starts, ends, first = tk.word_spans(data, offsets)
-    words = tk.span_hashes(tk.LOWERED[data], starts, ends)
-    equal = np.zeros(len(words) + 1, np.int64)
-    if len(words):
-        same = words[1:] == words[:-1]
-        heads = first[(first > 0) & (first < len(words))]
-        same[heads - 1] = False
-        np.cumsum(same, out=equal[2:])
-    return equal[first[1:]] - equal[first[:-1]]
+    hashes, bounds = tk.shingle_hashes(tk.span_hashes(tk.LOWERED[data], starts, ends), first, 2)
+    return (hashes >> np.uint64(49)).astype(np.int64), bounds
 
 
 def indicators(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,15 +59,15 @@ def indicators(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     groups so that the presence table stays small."""
     codes = _codes(data, offsets)
     n = len(offsets) - 1
-    twice = _equal_pairs(data, offsets)
+    pairs, bounds = _word_pairs(data, offsets)
     rows, features = [], []
-    for a in range(0, n, 512):
-        b = min(a + 512, n)
+    for a in range(0, n, ROWS):
+        b = min(a + ROWS, n)
         row = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
         seen = np.zeros((b - a) * FEATURES, bool)
         seen[row * FEATURES + codes[offsets[a] : offsets[b]]] = True
-        for k, least in enumerate(PAIRS):
-            seen[np.flatnonzero(twice[a:b] >= least) * FEATURES + BUCKETS + k] = True
+        row = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+        seen[row * FEATURES + BUCKETS + pairs[bounds[a] : bounds[b]]] = True
         at = np.flatnonzero(seen)
         rows.append(at // FEATURES + a)
         features.append(at % FEATURES)
@@ -112,9 +108,19 @@ def fit(examples: list[np.ndarray], labels: np.ndarray) -> QualityModel:
     ones = 1.0 / norms
     share = (y > 0).mean()
     bound = np.where(y > 0, COST * 0.5 / share, COST * 0.5 / (1 - share)) * 10
+    w, b, _ = dual_descent(examples, values, ones, y, bound)
+    model = QualityModel(ratio, w, b, 1.0, 0.0)
+    row = np.repeat(np.arange(len(examples)), [len(f) for f in examples])
+    model.slope, model.shift = _logistic(model.margins(row, np.concatenate(examples), len(examples)), (y > 0).astype(float))
+    return model
+
+
+def dual_descent(examples: list[np.ndarray], values: list[np.ndarray], ones: np.ndarray, y: np.ndarray, bound: np.ndarray, epochs: int = EPOCHS, close: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
+    """Hinge-loss model of sparse examples of unit length (with ``ones``, their constant
+    feature) by coordinate descent on the dual: (weights, intercept, dual variables)."""
     alpha, w, b = np.zeros(len(y)), np.zeros(FEATURES), 0.0
     rng = np.random.default_rng(7)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(y)):
             f, v = examples[i], values[i]
@@ -126,12 +132,9 @@ def fit(examples: list[np.ndarray], labels: np.ndarray) -> QualityModel:
                 b += step * ones[i]
                 alpha[i] = new
                 worst = max(worst, abs(step))
-        if worst < 1e-3:
+        if worst < close:
             break
-    model = QualityModel(ratio, w, b, 1.0, 0.0)
-    row = np.repeat(np.arange(len(examples)), [len(f) for f in examples])
-    model.slope, model.shift = _logistic(model.margins(row, np.concatenate(examples), len(examples)), (y > 0).astype(float))
-    return model
+    return w, b, alpha
 
 
 def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -167,14 +170,15 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS)
     """Fit on documents with a label, about ``max_docs`` of them at most.
 
     ``labels`` has ``doc_id, quality``; null labels and ids are left out, and
-    of repeated pairs one is used.
+    of rows that repeat an id and a label the least text is used.  Without labelled
+    documents the score is constant.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null").distinct()
     n = known.count()
     share = min(1.0, max_docs / n) if n else 0.0
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1.0))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")  # at most about max_docs rows of 12 bytes
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # at most about max_docs rows of 12 bytes are broadcast
     rows = sample.mapInArrow(_featurize, "doc_id long, quality int, features binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["features"]))
     return fit([np.frombuffer(r["features"], np.uint16).astype(np.int64) for r in rows], np.array([r["quality"] for r in rows]))
@@ -185,8 +189,9 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -
 
     Returns the columns named in ``keep`` and ``score`` (0 to 1, higher: label 1
     is likelier), one row per input row.  Null and empty texts have no features
-    and get the score of the intercept.  Further columns are ignored, and repeated
-    rows are scored each by itself.
+    and get the score of the intercept.  Whole texts are scored, however long, and
+    repeated rows each by itself.  An empty table gives an empty one, and further
+    columns are ignored; those in ``keep`` must not be named as the result.
     """
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast((model.ratios, model.weights, model.bias, model.slope, model.shift))  # 512 KB

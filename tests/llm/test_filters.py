@@ -183,12 +183,14 @@ def test_spans_of_mixed_text(spark):
 
 def test_shortcut_equals_full_viterbi():
     rng = np.random.default_rng(3)
-    first = np.array([0, 40, 40, 200, 201, 400])
-    scores = np.repeat(rng.normal(0, 2, (80, 3)), 5, axis=0).astype(np.float32)
+    first = np.array([0, 40, 40, 200, 201, 400, 9000])
+    scores = np.concatenate([np.repeat(rng.normal(0, 2, (80, 3)), 5, axis=0), np.repeat(rng.normal(0, 2, (43, 3)), 200, axis=0) + rng.normal(0, 1, (8600, 3))]).astype(np.float32)
     scores -= scores.max(1, keepdims=True)
     np.maximum(scores, -language_id.WORST_WORD, out=scores)
     model = language_id.LanguageModel(["a", "b", "c"], np.ones((3, language_id.TRIGRAMS)), np.ones((3, len(language_id.SCRIPTS))))
     got = model.labels(scores, first)
+    begins, ends, before, last = model._pieces(scores, first, np.array([5]))
+    assert len(begins) > 8 and (begins[1:] == ends[:-1]).all() and (before[1:] == last[:-1]).all() and before[0] == last[-1] == -1
 
     def value(label, s):
         return s[np.arange(len(s)), label].sum() - language_id.SWITCH_PENALTY * (label[1:] != label[:-1]).sum()
@@ -208,6 +210,14 @@ def test_script_narrows_languages():
     starts = np.array([0, 5, 16])
     scores, counted = model.word_scores(data, np.array([0, len(data)]), starts)
     assert scores.argmax(1).tolist()[:2] == [0, 1] and counted.tolist() == [True, True, False] and (scores[2] == 0).all()
+    assert scores[0, 1] == scores[1, 0] == -language_id.EXCLUDED  # no path labels a word with a language of another script
+    assert model.labels(scores, np.array([0, 3])).tolist()[:2] == [0, 1]
+
+
+def test_scripts():
+    words = {"Straße": "latin", "việt": "latin", "Ελληνικά": "greek", "слово": "cyrillic", "ქართული": "georgian", "ខ្មែរ": "khmer", "ไทย": "thai", "हिन्दी": "devanagari", "தமிழ்": "tamil", "日本": "han", "ひらがな": "kana", "한국어": "hangul", "𠀀": "han", "12!": "none", "😀": "none", "עברית": "hebrew"}
+    for word, script in words.items():
+        assert language_id.SCRIPTS[language_id.scripts_of(np.frombuffer(word.encode(), np.uint8)).max()] == script, word
 
 
 def test_quality_on_held_out_rows(spark):
@@ -241,15 +251,38 @@ def test_dual_coordinate_descent_separates():
     assert ((model.scores(row, np.concatenate(examples), len(labels)) > 0.5) == (labels == 1)).all()
 
 
+def test_dual_objective_against_a_plain_solver():
+    """Projected gradient on the whole kernel matrix, and the gap to the primal objective."""
+    rng = np.random.default_rng(2)
+    examples = [np.sort(rng.choice(60, 12, replace=False)) for _ in range(50)]
+    y = np.where(rng.random(50) < 0.5, 1.0, -1.0)
+    values = [v / np.sqrt(v @ v + 1.0) for v in (rng.normal(0, 1, 12) + 0.3 * k for k in y)]
+    ones = np.array([np.sqrt(max(0.0, 1 - v @ v)) for v in values])
+    bound = np.where(y > 0, 2.0, 1.0)
+    w, b, alpha = quality_nbsvm.dual_descent(examples, values, ones, y, bound, epochs=3000, close=1e-9)
+    dense = np.zeros((50, quality_nbsvm.FEATURES + 1))
+    for k, (f, v) in enumerate(zip(examples, values)):
+        dense[k, f], dense[k, -1] = v, ones[k]
+    kernel = (dense @ dense.T) * np.outer(y, y)
+    plain = np.zeros(50)
+    for _ in range(40_000):
+        plain = np.clip(plain - (kernel @ plain - 1) / np.linalg.norm(kernel, 2), 0, bound)
+    dual = lambda a: a.sum() - a @ kernel @ a / 2
+    weights = np.append(w, b)
+    primal = weights @ weights / 2 + (bound * np.maximum(0, 1 - y * (dense @ weights))).sum()
+    assert dual(alpha) == pytest.approx(dual(plain), abs=1e-5) and primal == pytest.approx(dual(alpha), abs=1e-4)
+    assert weights == pytest.approx((alpha * y) @ dense, abs=1e-9)
+
+
 RULES = url_equivalence.DEFAULT_RULES
 
 
-def judged(url):
+def judged(url, rules=RULES):
     at = (url or "").find("://")
     rest = url[at + 3 :] if at >= 0 else ""
     host = re.match("[^/?#]*", rest)[0].translate(str.maketrans(url_equivalence.UPPER, url_equivalence.LOWER))
     path = re.match("[^/?#]*([^?#]*)", rest, re.S)[1]
-    fits = [(len(h + p), a == "allow", h + p, a) for a, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [(len(h + p), a == "allow", h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return (host, path, *(max(fits)[2:] if fits else (None, None)))
 
 
@@ -285,8 +318,53 @@ def test_aliases(spark):
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_equivalence.classify_urls(pages).count() == 0
-    with pytest.raises(ValueError):
-        url_equivalence.matching_rule(F.lit(""), F.lit(""), [("block", str(i), "/") for i in range(3000)])
+
+
+def test_other_parameters_are_not_tracking(spark):
+    urls = ["http://a.io/?xref=1", "http://a.io/?xref=2", "http://a.io/?pref=1&ref=9", "http://a.io/?pref=1", "http://a.io/?ref=2&pref=1", "http://a.io/?href=3&utm_x=1&gclid=2", "http://a.io/?href=3", "http://a.io", "http://www.a.io/?REF=7#x"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("form", url_equivalence.canonical_form(F.col("url"))).collect()
+    assert [r["form"] for r in sorted(rows)] == ["a.io?xref=1", "a.io?xref=2", "a.io?pref=1", "a.io?pref=1", "a.io?pref=1", "a.io?href=3", "a.io?href=3", "a.io", "a.io"]
+    pages = [page(1, "http://x.io/?pref=1", canonical="http://bad.net/"), page(2, "http://x.io/?pref=2"), page(3, "http://x.io/?pref=1&ref=4"), page(4, "http://bad.net/")]
+    got = url_equivalence.classify_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {1: "block", 2: "allow", 3: "block", 4: "block"}
+
+
+def test_many_rules_give_what_few_give(spark, monkeypatch):
+    rng = random.Random(6)
+    hosts = ["a.org", "b.a.org", "org", "x.b.a.org", "c.net", "net", "d.c.net", ""]
+    rules = list({(rng.choice(hosts[:-1]), "/" + "/".join(rng.choice("pqr") for _ in range(rng.randrange(4)))): None for _ in range(60)})
+    rules = [(rng.choice(["allow", "block"]), h, p) for h, p in rules]
+    urls = [f"http://{rng.choice(hosts)}/{'/'.join(rng.choice('pqr') for _ in range(rng.randrange(5)))}" for _ in range(300)] + [None, "nothing"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "rule", "suffix", "action")})
+    joined = {r["page_id"]: r for r in url_equivalence.classify_urls(pages, rules).collect()}
+    for i, u in enumerate(urls):
+        host, path, rule, action = judged(u, rules)
+        assert (joined[i]["host"], joined[i]["path"], joined[i]["rule"], joined[i]["verdict"]) == (host, path, rule, action or "allow")
+    many = rules + [("block", f"h{i}.info", "/") for i in range(10_000)]
+    assert sorted(map(str, url_equivalence.classify_urls(pages, many).collect())) == sorted(map(str, joined.values()))
+    short = sorted(map(str, url_equivalence.classify_urls(pages, rules[:12]).collect()))
+    monkeypatch.setattr(url_equivalence, "MAX_INLINE_RULES", 5)
+    assert sorted(map(str, url_equivalence.classify_urls(pages, rules[:12]).collect())) == short
+
+
+def test_aliases_of_many_pages(spark):
+    """Chains, stars and rings of links against a search on the driver."""
+    rng = random.Random(9)
+    hosts = ["good.io", "bad.net", "example.net", "fine.org"]
+    names = [f"http://{rng.choice(hosts)}/{'en/' if rng.random() < 0.3 else ''}p{i}" for i in range(240)]
+    links = [(i, i + 1) for i in range(0, 60)] + [(i, 70) for i in range(71, 110)] + [(rng.randrange(110, 240), rng.randrange(110, 240)) for _ in range(70)]
+    rows = [page(i, names[i], **({"canonical": names[b]} if k % 2 else {"refresh": names[b]})) for k, (i, b) in enumerate(links)]
+    rows += [page(i, names[i]) for i in set(range(240)) - {i for i, _ in links}]
+    near = {i: {i} for i in range(240)}
+    for a, b in links:
+        union = near[a] | near[b]
+        for x in union:
+            near[x] = union
+    got = url_equivalence.classify_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    action = {i: judged(names[i])[3] for i in range(240)}
+    passed = lambda i: "block" if "block" in {action[x] for x in near[i]} and "allow" not in {action[x] for x in near[i]} else "allow"
+    assert {(r["page_id"], r["verdict"]) for r in got} == {(i, action[i] or passed(i)) for i in range(240)}
+    assert any(action[i] is None and passed(i) == "block" for i in range(240))
 
 
 def test_prose_is_the_same_each_time():
