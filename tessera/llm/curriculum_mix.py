@@ -86,10 +86,11 @@ def mix_sources(
     start where the target exceeds the source; the document at which the target
     is reached is taken in part, so that the words taken differ from the target
     by less than one.  ``positions`` has one entry for each time a document is
-    (wholly or in part) taken.  Null texts have no words, and null sources form
-    one source that ranks last.  Null ids sort first.  Repeated ids stay
-    separate rows.  Without documents the result is empty; further columns are
-    ignored.
+    (wholly or in part) taken; see :func:`readings`.  Null and empty texts have no words
+    and are never taken; long texts are counted whole.  Null sources form one source
+    that ranks last.  Null ids sort first; ties of id and size go by ``keep``.
+    Repeated ids stay separate rows.  Without documents the result is empty; further
+    columns are ignored, whatever their names, if ``keep`` does not name them.
     """
     text = F.col("text").cast("string")
     order = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))

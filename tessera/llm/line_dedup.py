@@ -284,11 +284,12 @@ def deduplicate_lines(docs: DataFrame, keep: list[str] | None = None) -> DataFra
     """Drop lines that an earlier document holds.
 
     ``docs`` has ``doc_id, text``.  Returns the columns named in ``keep`` and
-    ``n_lines, n_dropped, kept`` (the text that stays), one row per input row.
-    Null and empty texts have one empty line.  Rows with equal ids are one
-    document and lose the same lines; null ids are one document that comes
+    ``n_lines, n_dropped, kept`` (the text that stays) and ``kept_sha256`` (its digest), one
+    row per input row.  Null and empty texts have one empty line; whole texts are
+    read, however long.  Rows with equal ids are one document and lose the same
+    lines, but keep those that they hold first; null ids are one document that comes
     after all others.  An empty table gives an empty one; further columns are
-    ignored.
+    ignored, and those in ``keep`` must not be named as results.
     """
     keep = keep or ["doc_id"]
     lists = materialize(duplicate_line_lists(docs), "losses").groupBy("_t_id").agg(F.collect_list("_t_lost").alias("_t_lost"))  # a list for each block that holds the id
