@@ -92,6 +92,13 @@ def _messages(dest, kind, block, a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["dest", "kind", "block", "a", "b"])
 
 
+def _with_header(part: int, serial: int, bits: int) -> int:
+    """Hash range that a block's header travels with.  Any will do; the steps of a
+    sequence without clusters (powers of the plastic number) deal them evenly, however
+    many tasks send and however many blocks each has."""
+    return ((part * 0xC13FA9A9 + serial * 0x91E10DA5) & 0xFFFFFFFF) >> (32 - bits)
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     yield from zip(*[batch.column(n).to_pylist() for n in ("dest", "kind", "block", "a", "b")])
 
@@ -125,7 +132,7 @@ def _send_shingles(bits: int, width: int):
                 shared = np.bincount(holder[~single], minlength=j - i)
                 holder = np.where(single, holder, MANY)[first].astype(np.uint16)
                 keys = ordered[first]
-                block = (part << 32) + serial
+                block, header_range = (part << 32) + serial, _with_header(part, serial, bits)
                 serial += 1
                 header = pickle.dumps((every[i:j], np.diff(bounds), set_names(hashes, bounds), shared))
                 ranges = (keys >> np.uint64(64 - bits)).astype(np.int64)
@@ -133,7 +140,7 @@ def _send_shingles(bits: int, width: int):
                 cuts = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1]))) if len(ranges) else np.zeros(0, np.int64)
                 ends = [*cuts[1:], len(ranges)]
                 yield _messages(
-                    [block % (1 << bits), *ranges[cuts].tolist()],
+                    [header_range, *ranges[cuts].tolist()],
                     [0] + [1] * len(cuts),
                     [block] * (len(cuts) + 1),
                     [header, *[_planes(low[a:b]) for a, b in zip(cuts, ends)]],
@@ -235,7 +242,7 @@ def _send_sets(bits: int):
             while i < len(nodes):
                 j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + BLOCK_SHINGLES, "right")) - 1)
                 hashes = flat[bounds[i] : bounds[j]]
-                block = (part << 32) + serial
+                block, header_range = (part << 32) + serial, _with_header(part, serial, bits)
                 serial += 1
                 keys, counts = np.unique(hashes, return_counts=True)
                 header = pickle.dumps((nodes[i:j], bounds[i : j + 1] - bounds[i], hashes))
@@ -243,7 +250,7 @@ def _send_sets(bits: int):
                 cuts = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1])))
                 ends = [*cuts[1:], len(ranges)]
                 yield _messages(
-                    [block % (1 << bits), *ranges[cuts].tolist()],
+                    [header_range, *ranges[cuts].tolist()],
                     [0] + [1] * len(cuts),
                     [block] * (len(cuts) + 1),
                     [header, *[keys[a:b].tobytes() for a, b in zip(cuts, ends)]],
