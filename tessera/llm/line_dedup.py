@@ -137,10 +137,11 @@ def line_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
 
 
 def _blocks_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each block: ids, number of distinct hashes by document, and these hashes."""
+    """One row for each block: ids and hashes of the texts, number of distinct line hashes by row, and these hashes."""
     part, serial = TaskContext.get().partitionId(), 0
     for batch in batches:
         ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+        texts = batch.column("text_hash").to_numpy(zero_copy_only=False)
         for i, j, data, offsets in tk.blocks(batch.column("text"), BLOCK_BYTES):
             starts, ends, first = line_spans(data, offsets)
             hashes, long = line_keys(data, starts, ends)
@@ -151,9 +152,9 @@ def _blocks_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
             counts = np.bincount(row[new], minlength=j - i).astype(np.int32)
-            arrays = [pa.array([(part << 32) + serial], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (ids[i:j], counts, hashes[new])]]
+            arrays = [pa.array([(part << 32) + serial], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (ids[i:j], texts[i:j], counts, hashes[new])]]
             serial += 1
-            yield pa.RecordBatch.from_arrays(arrays, names=["block", "ids", "counts", "hashes"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["block", "ids", "texts", "counts", "hashes"])
 
 
 def _unpacked(ids: bytes, counts: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -226,11 +227,11 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block comes after the answers to it; gives the hashes that each of its documents loses."""
+    """A block comes after the answers to it; gives the hashes that each of its rows loses."""
     current, keys, owners = None, [], []
     for batch in batches:
-        docs, lost = [], []
-        for kind, block, ids, counts, hashes in _rows(batch, "kind", "block", "ids", "counts", "hashes"):
+        docs, texts, lost = [], [], []
+        for kind, block, ids, names, counts, hashes in _rows(batch, "kind", "block", "ids", "texts", "counts", "hashes"):
             if block != current:
                 current, keys, owners = block, [], []
             if kind == 0:
@@ -241,31 +242,33 @@ def _losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 order = np.argsort(known)
                 known, owner = known[order], owner[order]
                 doc, entry = _unpacked(ids, counts, hashes)
+                row = np.repeat(np.arange(len(counts) // 4), np.frombuffer(counts, np.int32))
                 at = np.minimum(np.searchsorted(known, entry), len(known) - 1)
                 loses = np.flatnonzero((known[at] == entry) & (owner[at] != doc))
-                doc, entry = doc[loses], entry[loses]
-                cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
+                doc, row, entry = doc[loses], row[loses], entry[loses]
+                cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
                 docs += doc[cuts].tolist()
-                lost += [entry[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(doc)])]
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(lost, pa.binary())], names=["_t_id", "_t_lost"])
+                texts += np.frombuffer(names, np.int64)[row[cuts]].tolist()
+                lost += [entry[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(row)])]
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), pa.array(lost, pa.binary())], names=["_t_id", "_t_hash", "_t_lost"])
 
 
-def drop_lines(text: str, lost: set[int]) -> tuple[int, int, str]:
+def drop_lines(text: str, lost: np.ndarray) -> tuple[int, int, str]:
     """(lines, lines dropped, the rest) when all lines whose key hashes into ``lost`` go."""
     data = np.frombuffer(text.encode(), np.uint8)
     starts, ends, _ = line_spans(data, np.array([0, len(data)]))
     hashes, long = line_keys(data, starts, ends)
-    gone = long & np.isin(hashes, np.fromiter(lost, np.uint64, len(lost)))
+    gone = long & np.isin(hashes, lost)
     raw = data.tobytes()
     return len(starts), int(gone.sum()), b"\n".join(raw[starts[k] : ends[k]] for k in np.flatnonzero(~gone)).decode()
 
 
 def duplicate_line_lists(docs: DataFrame) -> DataFrame:
-    """``_t_id, _t_lost``: for each document id that loses lines, their packed hashes.
-
-    An id may have several rows; their lists are to be united.
-    """
-    blocks = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_blocks_of_lines, "block long, ids binary, counts binary, hashes binary"), "lines")
+    """``_t_id, _t_hash, _t_lost``: for each row that loses lines, its id, the hash of
+    its text and the packed hashes of these lines.  Rows that agree in id and text agree in all."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    blocks = materialize(rows.mapInArrow(_blocks_of_lines, "block long, ids binary, texts binary, counts binary, hashes binary"), "lines")
     grouped = blocks.mapInArrow(_distinct, "h long, least long, greatest long, n long").groupBy("h").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("n").alias("n"))
     shared = materialize(grouped.filter("least < greatest").select("h", "least", "n"), "shared")
     shards = max(MIN_SHARDS, -(-shared.count() // SHARD_KEYS))
@@ -276,8 +279,8 @@ def duplicate_line_lists(docs: DataFrame) -> DataFrame:
     met = index.unionByName(probes).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
     answers = met.mapInArrow(_answers, "block long, hashes binary, owners binary")
     empty = F.lit(None).cast("binary")
-    both = answers.select(F.lit(0).alias("kind"), "block", F.col("owners").alias("ids"), empty.alias("counts"), "hashes").unionByName(blocks.select(F.lit(1).alias("kind"), "block", "ids", "counts", "hashes"))
-    return both.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(_losses, "_t_id long, _t_lost binary")
+    both = answers.select(F.lit(0).alias("kind"), "block", F.col("owners").alias("ids"), empty.alias("texts"), empty.alias("counts"), "hashes").unionByName(blocks.select(F.lit(1).alias("kind"), "block", "ids", "texts", "counts", "hashes"))
+    return both.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(_losses, "_t_id long, _t_hash long, _t_lost binary")
 
 
 def deduplicate_lines(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -292,18 +295,20 @@ def deduplicate_lines(docs: DataFrame, keep: list[str] | None = None) -> DataFra
     ignored, and those in ``keep`` must not be named as results.
     """
     keep = keep or ["doc_id"]
-    lists = materialize(duplicate_line_lists(docs), "losses").groupBy("_t_id").agg(F.collect_list("_t_lost").alias("_t_lost"))  # a list for each block that holds the id
-    sided = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_t_id"), F.col("text").cast("string").alias("_t_text"))
-    joined = sided.join(lists, "_t_id", "left").select(*keep, "_t_text", "_t_lost")
+    # By id and text: however many rows share an id, none but equal texts meet in a group, and one list stands for them.
+    lists = materialize(duplicate_line_lists(docs), "losses").dropDuplicates(["_t_id", "_t_hash"])
+    text = F.col("text").cast("string")
+    sided = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_t_id"), F.xxhash64(text).alias("_t_hash"), text.alias("_t_text"))
+    joined = sided.join(lists, ["_t_id", "_t_hash"], "left").select(*keep, "_t_text", "_t_lost")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lost = batch.column("_t_text").to_pylist(), batch.column("_t_lost").to_pylist()
             n_lines, n_dropped, kept = [], [], []
-            for text, lists in zip(texts, lost):
+            for text, packed in zip(texts, lost):
                 text = text or ""
-                if lists:
-                    total, gone, text = drop_lines(text, set(np.concatenate([np.frombuffer(x, np.uint64) for x in lists]).tolist()))
+                if packed:
+                    total, gone, text = drop_lines(text, np.frombuffer(packed, np.uint64))
                 else:
                     total, gone = text.count("\n") + 1, 0
                 n_lines.append(total)

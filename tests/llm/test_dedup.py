@@ -97,6 +97,19 @@ def test_lines_at_random(spark, monkeypatch):
     assert got_lines(line_dedup.deduplicate_lines(df)) == brute_lines(rows)
 
 
+def test_lines_of_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK_BYTES", 600)
+    rng = random.Random(8)
+    lines = [f"this is line number {i}" for i in range(60)] + ["short"]
+    text = lambda: "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 6)))
+    rows = [(None, text()) for _ in range(120)] + [(7, text()) for _ in range(60)] + [(None, "this is line number 1\nshort")] * 30 + [(i, text()) for i in range(60)] + [(None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got_lines(line_dedup.deduplicate_lines(df)) == brute_lines(rows)
+    lists = line_dedup.duplicate_line_lists(df).collect()
+    assert max(len(r["_t_lost"]) for r in lists) <= 5 * 8  # what one row loses, not what an id loses
+    assert len({(r["_t_id"], r["_t_hash"]) for r in lists}) == len({(r["_t_id"], r["_t_hash"], bytes(r["_t_lost"])) for r in lists})
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 5000, dtype=np.uint64))
     assert sorted(line_dedup.PerfectHash(keys).index(keys).tolist()) == list(range(len(keys)))
