@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import curriculum_mix, decontaminate, jaccard_join, language_id, minimax_shards
-from tessera.llm.storage import remove, work_folder
+from tessera.llm.storage import materialize, remove, work_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHARDS = 16
@@ -46,10 +46,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     link with nothing, and all their rows stay.  An empty table gives an empty one."""
     keyed = docs.select(*COLUMNS, row_key())
     classes = jaccard_join.jaccard_classes(keyed.select(F.col("_t_row").alias("doc_id"), "text")).filter("n_shingles > 0")
-    members = classes.groupBy(F.col("doc_id").alias("_t_row")).agg(F.first("component_id").alias("_t_class"), F.count("*").alias("_t_rows"))
+    members = materialize(classes.groupBy(F.col("doc_id").alias("_t_row")).agg(F.first("component_id").alias("_t_class"), F.count("*").alias("_t_rows")), "members")
     ids = keyed.select("_t_row", "doc_id").distinct()
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_t_row")
-    least = members.join(ids, "_t_row").groupBy("_t_class").agg(F.min_by("_t_row", rank).alias("_t_least"), F.sum("_t_rows").alias("_t_size")).filter("_t_size > 1")
+    found = members.join(ids, "_t_row").groupBy("_t_class").agg(F.min_by("_t_row", rank).alias("_t_least"), F.sum("_t_rows").alias("_t_size"))
+    # Written first, so that the join below is one of two tables and a large class can be split.
+    least = materialize(found.filter("_t_size > 1"), "least")
     flags = members.join(least, "_t_class").select("_t_row", (F.col("_t_row") == F.col("_t_least")).alias("_t_stays"), "_t_rows")
     joined = keyed.join(flags.filter("not _t_stays or _t_rows > 1"), "_t_row", "left").filter("_t_stays is null or _t_stays")
     once = joined.filter("_t_stays").dropDuplicates(["_t_row"])
