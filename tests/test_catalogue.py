@@ -33,6 +33,21 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted_rows(df.collect(), df.columns) == sorted_rows(want.fetchall(), want.columns)
 
 
+@pytest.mark.parametrize("name", ["plan_costs"])
+def test_page_counts_equal_sql_on_more_pages(spark, name):
+    """On sf0.001 other records a page and other roundings give the same numbers of pages."""
+    connection, folder = duckdb.connect(), "/root/testdata/sf0.1"
+    for t in ("customer", "orders", "part"):
+        connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    df, want = catalogue.queries()[name](spark, folder), connection.sql(catalogue.oracle_sql()[name])
+    assert sorted_rows(df.collect(), df.columns) == sorted_rows(want.fetchall(), want.columns)
+
+
+def test_records_a_page(spark):
+    transaction = catalogue.open_tables(spark, SF, "customer", "orders", "lineitem")
+    assert [transaction.num_entries_per_page(t) for t in ("customer", "orders", "lineitem")] == [64, 80, 56]
+
+
 def test_contract(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["c_name", "p_name"]
