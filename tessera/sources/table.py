@@ -28,7 +28,7 @@ SEGMENT_BYTES = 256 << 20
 MAX_SEGMENTS = 32
 #: Record numbers that are looked through together for free ones.
 GAP_BLOCK = 1024
-#: Distinct values of larger tables are estimated.
+#: Where they only steer the choice of a plan, distinct values of larger tables are estimated.
 EXACT_BYTES = 1 << 30
 
 
@@ -46,7 +46,7 @@ class ExternalTable:
         self.schema = Schema.of_spark(frame.select(*[c for c in frame.columns if c != RID]).schema, sizes)
         self.indices: list[str] = []
         self._frame, self._size = frame, None
-        self._measured = Measured()
+        self._measured, self._estimated = Measured(), Measured()
         for column in self.key:
             self.schema.index(column)
 
@@ -73,9 +73,11 @@ class ExternalTable:
     def last_rid(self) -> int:
         return self.num_records() - 1
 
-    def stats(self, columns: Iterable[str] | None = None, keys: Iterable[str] = ()) -> TableStats:
-        """Statistics with the histograms of the given columns, or of all, and the distinct values of keys."""
-        return measure(self._frame, self.schema, self._measured, columns, keys, (self.size_bytes() or 0) <= EXACT_BYTES)
+    def stats(self, columns: Iterable[str] | None = None, keys: Iterable[str] = (), estimate: bool = False) -> TableStats:
+        """Statistics with the histograms of the given columns, or of all, and the distinct values of keys;
+        ``estimate`` lets those of a large table be estimated."""
+        rough = estimate and (self.size_bytes() or 0) > EXACT_BYTES
+        return measure(self._frame, self.schema, self._estimated if rough else self._measured, columns, keys, not rough)
 
 
 class StoredTable:
@@ -87,7 +89,7 @@ class StoredTable:
     def __init__(self, spark: SparkSession, root: str, name: str, schema: Schema, indices: Sequence[str] = (), segments: list[dict] | None = None):
         self.spark, self.root, self.name, self.schema = spark, root, name, schema
         self.indices, self.segments = list(indices), list(segments or [])
-        self._measured = Measured()
+        self._measured, self._estimated = Measured(), Measured()
         self._files = Files(spark)
         self._old: list[str] = []
 
@@ -120,9 +122,11 @@ class StoredTable:
     def last_rid(self) -> int:
         return max((s["last"] for s in self.segments), default=-1)
 
-    def stats(self, columns: Iterable[str] | None = None, keys: Iterable[str] = ()) -> TableStats:
-        """Statistics with the histograms of the given columns, or of all, and the distinct values of keys."""
-        return measure(self.numbered(), self.schema, self._measured, columns, keys, self.size_bytes() <= EXACT_BYTES)
+    def stats(self, columns: Iterable[str] | None = None, keys: Iterable[str] = (), estimate: bool = False) -> TableStats:
+        """Statistics with the histograms of the given columns, or of all, and the distinct values of keys;
+        ``estimate`` lets those of a large table be estimated."""
+        rough = estimate and self.size_bytes() > EXACT_BYTES
+        return measure(self.numbered(), self.schema, self._estimated if rough else self._measured, columns, keys, not rough)
 
     # Writing; each returns with the new list in place, to be saved by the catalog
 
@@ -159,7 +163,7 @@ class StoredTable:
     def _become(self, segments: list[dict]) -> None:
         kept = {s["path"] for s in segments}
         self._old += [s["path"] for s in self.segments if s["path"] not in kept]
-        self.segments, self._measured = segments, Measured()
+        self.segments, self._measured, self._estimated = segments, Measured(), Measured()
 
     def discard_old(self) -> None:
         """Delete segments that the saved state no longer names."""
