@@ -33,7 +33,7 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted_rows(df.collect(), df.columns) == sorted_rows(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("name", ["plan_costs"])
+@pytest.mark.parametrize("name", ["plan_costs", "index_pages"])
 def test_page_counts_equal_sql_on_more_pages(spark, name):
     """On sf0.001 other records a page and other roundings give the same numbers of pages."""
     connection, folder = duckdb.connect(), "/root/testdata/sf0.1"

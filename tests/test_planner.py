@@ -20,6 +20,11 @@ def test_index_arithmetic():
     assert index_pages(300, INT) == 2
 
 
+def test_whole_index_nodes_are_not_rounded_up():
+    assert [index_pages(n, INT) for n in (0, 400, 401, 800, 801, 20000, 120000)] == [2, 2, 4, 5, 6, 77, 454]
+    assert index_pages(992 * 800, INT) == 1 + 2976 + 9 + 1  # whole leaves and whole inner nodes
+
+
 def test_index_scan_costs():
     for values, bound, want in [(range(300), 200, 115), ([*range(300), *range(700)], 500, 379)]:
         stats = TableStats(ONE_INT, (ints(list(values)),), len(values))
